@@ -13,17 +13,38 @@ _WORDS = (
     ["NFC", "Replace", "Lowercase"],
     "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 )
-#: A word of Latin letters with ASCII marks behind it: two pre-tokens, both unchanged by NFC, lower case by letter.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+#: Texts of these bytes in Latin-1 are cut into letters, digits and runs of marks before a dictionary is asked: none of
+#: them changes under NFC, each has one lower-case byte, and blanks and line ends are their only space.
+_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+_EASY = _LETTERS + b" \n.,"
+_KNOWN = _LETTERS + b" \n0123456789" + _MARKS
+_LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_CUT = re.compile(b"([0-9]|[" + re.escape(_MARKS) + b"]+)")
+
+
+def _pieces(text: str) -> list[bytes] | None:
+    """Lower-case letters, single digits and runs of marks of the text in order; None for a text of other characters."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if raw.translate(None, _EASY):
+        if raw.translate(None, _KNOWN) or b"<|" in raw:
+            return None
+        return _CUT.sub(rb" \1 ", raw.translate(_LOWER)).split(b" ")
+    if b".." in raw or b",," in raw or b".," in raw or b",." in raw:
+        return _CUT.sub(rb" \1 ", raw.translate(_LOWER)).split(b" ")
+    return raw.translate(_LOWER).replace(b".", b" . ").replace(b",", b" , ").split(b" ")
 
 
 class WordEncoder:
     """encode(texts) gives the ids that the library gives for each whole text, as numpy arrays of uint32.
 
-    keep bounds the remembered words, and so the memory; beyond it they are forgotten and encoded anew.
+    keep bounds the remembered pieces, and so the memory; beyond it they are forgotten and encoded anew.
     """
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,35 +60,30 @@ class WordEncoder:
         self.by_word = (steps, first.get("pattern", {}).get("Regex")) == _WORDS and config["post_processor"] is None
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.keep, self.words, self.stems = keep, {}, {}
+        self.keep, self.words, self.pieces = keep, {}, {b"": b""}
 
-    def _learn_stems(self, stems: list[str]) -> None:
+    def _learn_pieces(self, new: list[bytes]) -> None:
         """Each is one pre-token, so in the ids of all of them joined by blanks each ends at its end-of-word token."""
-        for i in range(0, len(stems), 20_000):
-            part = stems[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            assert len(cuts) == len(part), "a word isn't one pre-token"
-            raw, size, at = ids.tobytes(), self.kind.itemsize, 0
-            for stem, cut in zip(part, cuts.tolist(), strict=True):
-                self.stems[stem] = raw[at : cut * size]
-                at = cut * size
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.stems) > self.keep:
-            self.stems.clear()
-        plain, other = [], []
-        for w in new:
-            if m := _PLAIN(w):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        self._learn_stems(list({x for _, a, b in plain for x in (a, b) if x and x not in self.stems}))
-        stems, words = self.stems, self.words
-        for w, a, b in plain:
-            words[w] = stems[a] + stems[b] if b else stems[a]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            words[w] = np.array(e.ids, self.kind).tobytes()
+        known, size = self.pieces, self.kind.itemsize
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * size
+            assert len(cuts) == len(part), "a piece isn't one pre-token"
+            raw, at = ids.tobytes(), 0
+            for piece, cut in zip(part, cuts.tolist(), strict=True):
+                known[piece] = raw[at:cut]
+                at = cut
+
+    def _by_words(self, text: str) -> bytes:
+        """Any text: what stands between blanks is encoded by the library as it is."""
+        words = text.replace("\n", " ").split(" ")
+        if len(self.words) > self.keep // 8:
+            self.words.clear()
+        new = list(set(words).difference(self.words))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, self.kind).tobytes()
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
@@ -75,14 +91,15 @@ class WordEncoder:
             return [np.array(e.ids, "<u4") for e in found]
         out = []
         for i in range(0, len(texts), 256):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 256]]
-            if len(self.words) > self.keep:
-                self.words.clear()
-            new = set().union(*split).difference(self.words)
+            split = [_pieces(t or "") for t in texts[i : i + 256]]
+            if len(self.pieces) > self.keep:
+                self.pieces = {b"": b""}
+            new = set().union(*(x for x in split if x is not None)).difference(self.pieces)
             if new:
-                self._learn(new)
-            get = self.words.__getitem__
-            out += [np.frombuffer(b"".join(map(get, w)), self.kind).astype("<u4") for w in split]
+                self._learn_pieces(list(new))
+            get = self.pieces.__getitem__
+            raw = [self._by_words(t or "") if x is None else b"".join(map(get, x)) for x, t in zip(split, texts[i : i + 256], strict=True)]
+            out += [np.frombuffer(r, self.kind).astype("<u4") for r in raw]
         return out
 
 
