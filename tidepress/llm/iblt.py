@@ -51,7 +51,7 @@ def print_of(keys: Column) -> Column:
 
 
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, keys, next (struct of text and keys): each row with the one behind it in descending doc_id.
+    """doc_id, text, keys, next_text, next_keys: each row with the one behind it in descending doc_id.
 
     The row behind the last is the first; a single row is its own next. Null ids come last; rows with one id are in
     order of their texts' hash. Range buckets are windows of their own, and each bucket's first row is also put at the
@@ -77,7 +77,8 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .select("at.b", "at.halo", "doc_id", "text", "keys")
     )
     order = Window.partitionBy("b").orderBy("halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    return placed.withColumn("next", F.lead(F.struct("text", "keys")).over(order)).filter("halo = 0").select("doc_id", "text", "keys", "next")
+    following = {"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order)}
+    return placed.withColumns(following).filter("halo = 0").select("doc_id", "text", "keys", "next_text", "next_keys")
 
 
 def differences(spark: SparkSession, store: Store, sets: DataFrame) -> DataFrame:
@@ -157,8 +158,8 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_id",
         n.cast("long").alias("n_chars"),
         "keys",
-        F.col("next.keys").alias("next_keys"),
-        F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substring(next.text, 1, cast(floor(length(text) / 3) as int))")).alias("edited"),
+        "next_keys",
+        F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))")).alias("edited"),
     )
     base = store.write(
         edited.select("doc_id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
