@@ -22,6 +22,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: A pair at similarity 0.8 agrees in a band with probability 0.8^4 = 0.41, so misses all 20 once in 38,000 times.
 BANDS, ROWS = 20, 4
+#: Keys are broadcast up to this many (each a few dozen bytes); beyond, the join shuffles.
+BROADCAST_ROWS = 2_000_000
 #: Members verified against one copy of a centre's text.
 SHARE = 500
 _MIX = np.random.default_rng(2024).integers(1, 1 << 62, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,8 +67,9 @@ def _sketch(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
 def candidates(spark: SparkSession, store: Store, nodes: DataFrame) -> DataFrame:
     """rep, node: pairs to verify. Each band bucket links its members to two of them: the one that shares most buckets
     (the centre of its copies) and the one of the smallest doc_id; so the pairs grow with the rows, not their square."""
-    rows = store.write(nodes.select("node", "least", F.explode("bands").alias("key")), "bands")
-    live = store.write(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "live")
+    rows = store.write(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    live = store.write(shared.join(nodes.select("node", "least"), "node"), "live")
     score = live.groupBy("node").agg(F.sum("n").alias("s"))
     centre = (
         live.join(score, "node")
@@ -83,7 +86,7 @@ def candidates(spark: SparkSession, store: Store, nodes: DataFrame) -> DataFrame
     return by_band.union(same).union(by_print).filter("rep <> node").distinct()
 
 
-def verified(spark: SparkSession, store: Store, docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+def verified(spark: SparkSession, store: Store, docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (a, b) of the pairs whose shingle sets have at least that Jaccard similarity, over whole texts.
 
     Members stream past their centre's set, at most SHARE to a copy of the centre, so no group is held anywhere and a
@@ -92,8 +95,13 @@ def verified(spark: SparkSession, store: Store, docs: DataFrame, pairs: DataFram
     parts = pairs.groupBy("rep").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SHARE)).cast("int").alias("parts"))
     member = pairs.join(parts, "rep").select("rep", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
     centre = parts.select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("node"))
-    wanted = member.union(centre)
-    texts = docs.join(wanted, "node").select("rep", "part", (F.col("node") != F.col("rep")).cast("int").alias("turn"), "node", "text")
+    wanted = store.write(member.union(centre), "wanted")
+    named = wanted.select("node").distinct()
+    if named.count() <= BROADCAST_ROWS:  # only their texts cross the network
+        docs = docs.join(F.broadcast(named), "node", "left_semi")
+    # Of equal texts one row goes on, that of the smallest doc_id.
+    single = docs.join(first, "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+    texts = single.join(wanted, "node").select("rep", "part", (F.col("node") != F.col("rep")).cast("int").alias("turn"), "node", "text")
     ordered = texts.repartition(2 * parallelism(spark), "rep", "part").sortWithinPartitions("rep", "part", "turn")
     batch_rows(spark, 1000)
 
@@ -131,11 +139,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, width: int = WIDTH, s
     )
     pairs = store.write(candidates(spark, store, nodes), "pairs-to-verify")
     first = nodes.select("node", "least")
-    single = slim.join(first, "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    joined = components(store, verified(spark, store, single, pairs, width, similarity)).withColumnRenamed("component", "group")
+    joined = components(store, verified(spark, store, slim, first, pairs, width, similarity)).withColumnRenamed("component", "group")
     grouped = first.join(joined, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
-    stays = grouped.groupBy("group").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("x")).select("x.node", "x.least")
-    stays = store.write(stays, "stays").withColumnsRenamed({"node": "__node", "least": "__least"})
-    kept = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit("")))).join(stays, "__node").filter(F.col("doc_id").eqNullSafe(F.col("__least")))
+    stays = grouped.groupBy("group").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("x")).select("x.node", "x.least", F.lit(True).alias("x"))
+    stays = store.write(stays, "stays")
+    rows = sketches.select("node", "doc_id").groupBy("node", "doc_id").agg(F.count("*").alias("n"))
+    fate = store.write(rows.join(stays, "node", "left").withColumn("stay", F.coalesce(F.col("doc_id").eqNullSafe(F.col("least")) & F.col("x").isNotNull(), F.lit(False))), "fate")
+    gone, again = fate.filter("not stay"), fate.filter("stay and n > 1")
+    keyed = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = lambda o: (F.col("__node") == o["node"]) & docs["doc_id"].eqNullSafe(o["doc_id"])
+    if again.isEmpty() and gone.count() <= BROADCAST_ROWS:
+        lost = F.broadcast(gone.select(F.col("node"), F.col("doc_id")))
+        return keyed.join(lost, same(lost), "left_anti").select(*docs.columns)
+    kept = fate.filter("stay").select("node", "doc_id")
     once = Window.partitionBy("__node").orderBy("doc_id")
-    return kept.withColumn("__turn", F.row_number().over(once)).filter("__turn = 1").select(*docs.columns)
+    return keyed.join(kept, same(kept), "left_semi").withColumn("__turn", F.row_number().over(once)).filter("__turn = 1").select(*docs.columns)
