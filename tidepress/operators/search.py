@@ -71,14 +71,19 @@ def bm25_words(chunks: DataFrame, queries: DataFrame, k: int = 60, keep: DataFra
 def bm25_substrings(chunks: DataFrame, queries: DataFrame, k: int = 60, keep: DataFrame | None = None) -> DataFrame:
     """Conjunctive BM25 where a term of three letters or more counts wherever it occurs inside the text.
 
-    The asked terms, a checked small set, are looked for in one pass over the texts; overlapping places count.
+    A term lies in a text where it lies in one of its words, so the distinct words are indexed by their trigrams: the
+    term's first trigram finds candidates, which are verified, and the words lead to the texts. Overlapping places count,
+    and only in texts that hold every term.
     """
     terms, wanted = _terms(queries, 3)
     low = chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     stats = low.agg(F.count("*").alias("n"), F.avg(F.greatest(F.length("low") - 2, F.lit(0))).alias("avgdl"))
     asked = small(terms.select("term").distinct())
     length = F.greatest(F.length("low") - 2, F.lit(0))
-    places = low.join(asked, F.col("low").contains(F.col("term"))).select("term", "chunk_id")
+    words = low.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("low")))).alias("word")).filter(F.length("word") >= 3)
+    grams = words.select("word").distinct().select("word", F.explode(F.expr("transform(sequence(1, length(word) - 2), i -> substring(word, i, 3))")).alias("gram"))
+    forms = grams.join(asked.withColumn("gram", F.substring("term", 1, 3)), "gram").filter(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
+    places = words.join(forms, "word").select("term", "chunk_id").distinct()
     df = places.groupBy("term").agg(F.count("*").alias("df"))
     if keep is not None:
         places = places.join(keep.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
