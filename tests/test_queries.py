@@ -4,6 +4,7 @@ import importlib
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidepress.operators import archive as A
@@ -26,9 +27,9 @@ def duck():
 
 def rows(df):
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
-        return str(v) if isinstance(v, str | bool) else f"{float(v):.5f}"
+        return str(v) if isinstance(v, str | bool) or type(v).__name__ == "bool" else f"{float(v):.5f}"
 
     return sorted(tuple(text(v) for v in r) for r in df.reindex(sorted(df.columns), axis=1).astype(object).itertuples(index=False, name=None))
 
