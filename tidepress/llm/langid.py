@@ -131,7 +131,7 @@ def fit(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE_ROWS) -> Lang
     for i, name in enumerate(languages):
         own = lang == name
         share[bucket[own], i] = n[own] / n[own].sum()
-    smooth = 0.95 * share + 0.05 * share.mean(axis=1, keepdims=True) + 1e-7
+    smooth = 0.95 * share + 0.05 * (share.mean(axis=1, keepdims=True) if languages else 0) + 1e-7
     table = np.log(smooth)
     table[BUCKETS] = 0
     return LanguageModel(languages, table.astype(np.float32))

@@ -1,7 +1,7 @@
 """Near copies by exact Jaccard similarity of word shingles, with SimHash and min-wise candidates.
 
 Two bits of a 64-bit SimHash reach texts that differ in a word or so of hundreds; at a shingle similarity of 0.8 the
-fingerprints lie 4 to 17 bits apart. So SimHash links are joined by min-wise band candidates, and both are verified.
+fingerprints mostly lie 5 to 16 bits apart. So SimHash links are joined by min-wise band candidates, and both are verified.
 """
 
 from __future__ import annotations
