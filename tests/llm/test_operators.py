@@ -129,6 +129,30 @@ def test_near_copies_equal_brute_force(spark, docs):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(boss)) and kept.columns == docs.columns
 
 
+def brute_kept(texts, similarity=0.8):
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    boss = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+            x, y = boss[a], boss[b]
+            boss = [min(x, y) if z in (x, y) else z for z in boss]
+    return sorted(set(boss))
+
+
+def test_near_copies_among_pages_with_shared_boilerplate(spark):
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5000)]
+    common, texts = " ".join(r.choice(words, 110)), []
+    for _ in range(150):
+        own = r.choice(words, 20).tolist()
+        texts.append(f"{common} {' '.join(own)}")
+        own[-9:] = r.choice(words, 9).tolist()
+        texts.append(f"{common} {' '.join(own)}")
+    kept = near_copies.drop_near_copies(spark, table(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == brute_kept(texts)
+
+
 def test_media_round_trip_and_clips(spark, docs):
     got = media.media_digests(spark, docs).toPandas().set_index("doc_id")
     for i, text in enumerate(corpus()):

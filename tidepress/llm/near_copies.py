@@ -1,7 +1,8 @@
 """Near copies by exact Jaccard similarity of word shingles, with SimHash and min-wise candidates.
 
 Two bits of a 64-bit SimHash reach texts that differ in a word or so of hundreds; at a shingle similarity of 0.8 the
-fingerprints mostly lie 5 to 16 bits apart. So SimHash links are joined by min-wise band candidates, and both are verified.
+fingerprints mostly lie 5 to 16 bits apart. So SimHash links are joined by min-wise band candidates, and both are verified;
+a crowded band's members that stay in several groups are then compared by an exact prefix join.
 """
 
 from __future__ import annotations
@@ -64,9 +65,12 @@ def _sketch(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
 
 
-def candidates(spark: SparkSession, store: Store, nodes: DataFrame) -> DataFrame:
-    """rep, node: pairs to verify. Each band bucket links its members to two of them: the one that shares most buckets
-    (the centre of its copies) and the one of the smallest doc_id; so the pairs grow with the rows, not their square."""
+def candidates(spark: SparkSession, store: Store, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rep, node: first pairs to verify; key, n, node: the members of shared band buckets and how many a bucket has.
+
+    Each bucket links its members to two of them: the one that shares most buckets (the centre of its copies) and the
+    one of the smallest doc_id; so the pairs grow with the rows, not their square. The buckets' other pairs are left to
+    `remainder`."""
     rows = store.write(nodes.select("node", F.explode("bands").alias("key")), "bands")
     shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
     live = store.write(shared.join(nodes.select("node", "least"), "node"), "live")
@@ -83,7 +87,45 @@ def candidates(spark: SparkSession, store: Store, nodes: DataFrame) -> DataFrame
     by_print = (
         near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("rep")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("node")), "b").select("rep", "node")
     )
-    return by_band.union(same).union(by_print).filter("rep <> node").distinct()
+    return by_band.union(same).union(by_print).filter("rep <> node").distinct(), live.select("key", "n", "node")
+
+
+def remainder(spark: SparkSession, store: Store, docs: DataFrame, first: DataFrame, live: DataFrame, joined: DataFrame, width: int, similarity: float) -> DataFrame | None:
+    """rep, node: the pairs still to verify, given the groups that the first pairs joined. None where there are none.
+
+    Only a bucket of more than two members and more than one group can hide a pair. The members of all these buckets
+    are joined by prefixes, which loses no pair: with shingles ordered rarest first, sets of that similarity share one
+    among the first size - ceil(similarity x size) + 1 of each, and their sizes are as near. Boilerplate is frequent, so
+    it comes last and pairs nobody.
+    """
+    grouped = live.filter("n > 2").join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b").select("key")
+    left = store.write(grouped.join(mixed, "key").select("node", "group").distinct(), "left")
+    if left.isEmpty():
+        return None
+    single = docs.join(first, "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).join(left, "node").select("node", "group", "text")
+    batch_rows(spark, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_hashes(t, width)).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(h) for h in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["node", "group", "size", "hashes"]
+            )
+
+    sets = store.write(single.mapInArrow(run, "node long, group long, size int, hashes array<long>"), "sets")
+    rows = sets.select("node", "size", F.explode("hashes").alias("hash"))
+    # A shingle of one set alone takes its place in the prefix but pairs nobody.
+    often = rows.groupBy("hash").agg(F.count("*").alias("often")).filter("often > 1")
+    own = Window.partitionBy("node")
+    place = rows.join(often, "hash").withColumn("place", F.row_number().over(own.orderBy("often", "hash"))).withColumn("shared", F.count("*").over(own))
+    long = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
+    prefix = place.filter(F.col("place") + F.col("size") - F.col("shared") <= long).select("hash", "node", "size")
+    prefix = store.write(prefix.join(left, "node"), "prefixes")
+    other = prefix.select("hash", F.col("node").alias("rep"), F.col("size").alias("s"), F.col("group").alias("g"))
+    near = F.least("size", "s") >= similarity * F.greatest("size", "s") - 1e-6
+    pairs = prefix.join(other, "hash").filter((F.col("rep") < F.col("node")) & (F.col("g") != F.col("group")) & near)
+    return store.write(pairs.select("rep", "node").distinct(), "pairs-left")
 
 
 def verified(spark: SparkSession, store: Store, docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -137,9 +179,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, width: int = WIDTH, s
     nodes = store.write(
         sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes"
     )
-    pairs = store.write(candidates(spark, store, nodes), "pairs-to-verify")
+    pairs, live = candidates(spark, store, nodes)
+    pairs = store.write(pairs, "pairs-to-verify")
     first = nodes.select("node", "least")
-    joined = components(store, verified(spark, store, slim, first, pairs, width, similarity)).withColumnRenamed("component", "group")
+    edges = verified(spark, store, slim, first, pairs, width, similarity)
+    joined = components(store, edges)
+    again = Store(spark, "near-copies-left")
+    rest = remainder(spark, again, slim, first, live, joined, width, similarity)
+    if rest is not None:
+        joined = components(again, edges.union(verified(spark, again, slim, first, rest, width, similarity)))
+    joined = joined.withColumnRenamed("component", "group")
     grouped = first.join(joined, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
     stays = grouped.groupBy("group").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("x")).select("x.node", "x.least", F.lit(True).alias("x"))
     stays = store.write(stays, "stays")
