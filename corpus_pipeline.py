@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: those of unknown language (no text, no letter) go."""
-    return langid.keep_known(spark, docs, langid.fit(spark, docs))
+    """Documents in a learned language: those without a letter go, and those far less likely than its training texts."""
+    model = langid.fit(spark, docs)
+    return langid.keep_known(spark, docs, model, langid.floors(spark, docs, model))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidepress.llm import bpe, iblt, langid, media, near_copies, packing, pii, quality, sharding, simhash, token_files, tokens
 from tidepress.llm.common import Store
 
@@ -177,6 +178,15 @@ def test_languages_mix(spark):
     assert langid.identify(spark, table(spark, [en]), none).first()["lang_pred"] == "und"
 
 
+def test_texts_of_no_learned_language_go(spark):
+    de = "Der Wind und die Wolken zogen schnell über das weite Land hinweg. "
+    rows = [(i, (de if i % 2 else BASE) * (1 + i % 5) + f" {i}", "de" if i % 2 else "en") for i in range(80)]
+    rows += [(100, "Ветер и облака быстро неслись над широкой землёй. " * 5, None), (101, "qzxj vkwq zzxv jqkx wvzq xjkq " * 9, None), (102, "12 34", None), (103, de + BASE, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").select("doc_id").collect()]
+    assert sorted(kept) == [*range(80), 103]
+
+
 def test_packing_obeys_every_limit_and_wastes_little():
     lengths = np.minimum(2048, np.random.default_rng(3).lognormal(6, 1, 3000).astype(int) + 1)
     for rule in ("norm", "dot"):

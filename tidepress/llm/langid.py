@@ -17,6 +17,8 @@ BUCKETS = 1 << 15
 SEGMENT = 64
 SAMPLE_ROWS = 8000
 UNKNOWN = "und"
+#: A text is of no learned language when a trigram's log likelihood is MARGIN under this quantile of the training texts.
+OUTLIERS, MARGIN = 0.001, 1.0
 _LETTER = regex.compile(r"\p{L}").search
 
 
@@ -70,9 +72,13 @@ class LanguageModel:
         Sets are the k languages of the largest shares when all are allowed; the chosen k maximises the fitted log
         likelihood less penalty x (k - 1) x log(segments + 1).
         """
+        return self.infer(texts)[:2]
+
+    def infer(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As predict, with the chosen mixture's log likelihood a trigram and the number of trigrams, by text."""
         n, m = len(texts), len(self.languages)
         if not n or not m:
-            return np.zeros((n, m)), np.zeros(n, np.int64)
+            return np.zeros((n, m)), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
         ids, count = grams(texts)
         start = np.concatenate([[0], np.cumsum(count)[:-1]])
         doc = np.repeat(np.arange(n), count)
@@ -81,7 +87,7 @@ class LanguageModel:
         lik = np.exp(np.maximum(ll - top[:, None], -600))
         whole, _ = self._em(lik, top, doc, start, count, np.ones((n, m)))
         place = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1)
-        best, best_score, size = np.zeros((n, m)), np.full(n, -np.inf), np.zeros(n, np.int64)
+        best, best_score, size, best_fit = np.zeros((n, m)), np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n)
         single = np.add.reduceat(ll, start, axis=0)
         for k in range(1, min(m, self.most) + 1):
             if k == 1:
@@ -91,8 +97,9 @@ class LanguageModel:
                 share, fit = self._em(lik, top, doc, start, count, (place < k).astype(float))
             score = fit - self.penalty * (k - 1) * np.log(count + 1)
             better = score > best_score + 1e-9
-            best[better], best_score[better], size[better] = share[better], score[better], k
-        return best, size
+            best[better], best_score[better], size[better], best_fit[better] = share[better], score[better], k, fit[better]
+        known = np.add.reduceat((ids != BUCKETS).reshape(-1, SEGMENT).sum(axis=1), start)
+        return best, size, best_fit / self.temper / np.maximum(known, 1), known
 
 
 def in_training(doc_id: Column) -> Column:
@@ -164,16 +171,46 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture string")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs, all columns as they are, without the rows whose language is unknown. Nothing is shuffled."""
+def length_class(count: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(count, 1)).astype(np.int32)
+
+
+def floors(spark: SparkSession, rows: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Least log likelihood a trigram of a text in a learned language, by length class (trigrams doubling).
+
+    It is MARGIN under the OUTLIERS quantile of all rows with text and lang, so short texts full of digits stay too. A
+    class never asks more than a longer one; beyond the longest class, its floor holds.
+    """
+    known = rows.filter("lang is not null and text is not null").select("text")
+    batch_rows(spark, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, fit, count = model.infer(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(length_class(count)), pa.array(fit)], ["c", "fit"])
+
+    low = known.mapInArrow(run, "c int, fit double").groupBy("c").agg(F.percentile_approx("fit", OUTLIERS, 100_000).alias("f"))
+    out = np.full(64, np.inf)
+    for c, f in low.collect():
+        out[c] = f - MARGIN
+    last = np.flatnonzero(np.isfinite(out))
+    if len(last):
+        out[last[-1] :] = out[last[-1]]
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel, floor: np.ndarray) -> DataFrame:
+    """docs, all columns as they are, without the rows whose language is unknown: those without a letter, and those that
+    the best mixture of learned languages explains worse than `floor` asks at their length. Nothing is shuffled."""
     batch_rows(spark, 1000)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            _, size = model.predict(texts)
-            yield batch.filter(pa.array([bool(n and t and _LETTER(t)) for n, t in zip(size, texts, strict=True)], pa.bool_()))
+            _, size, fit, count = model.infer(texts)
+            like = (size > 0) & (fit >= floor[length_class(count)])
+            yield batch.filter(pa.array([bool(k and t and _LETTER(t)) for k, t in zip(like, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
