@@ -207,6 +207,13 @@ def test_packed_pieces_are_the_librarys_ids(spark, docs):
         assert part.offset.tolist() == (part.length.cumsum() - part.length).tolist() and part.length.sum() <= 2048
 
 
+def test_packing_does_not_depend_on_the_order_of_lengths(spark):
+    docs = table(spark, ["the" + " the" * n for n in [9] * 600 + [7] * 600])
+    got = packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=20, group=200).toPandas()
+    assert sorted(set(got.length)) == [9, 11] and len(got) == 1200 and got.groupby("sequence_id").length.sum().max() <= 20
+    assert got.sequence_id.nunique() <= 660
+
+
 def test_sketch_likeness_is_exact(spark, docs):
     got = iblt.fingerprint_documents(spark, docs).toPandas().set_index("doc_id")
     texts = [t or "" for t in corpus()]

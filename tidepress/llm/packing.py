@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, documents
+from .common import batch_rows, documents, parallelism
 from .tokens import encoder
 
 MAX_TOKENS = 2048
@@ -83,54 +83,55 @@ def pack(
     """doc_id, piece, start, length, ids (or ids_crc32), sequence_id, offset: a row for each piece of each document.
 
     Every document is its ids and the separator; one beyond max_tokens is cut into pieces of max_tokens, whose last
-    may be shorter. Pieces are packed within their partition, in groups of at least `group` pieces (the last of a
-    partition may be smaller), so nothing is shuffled, memory is bounded, and at most a sequence or so of room is lost a
-    group. emit: "ids" for the token ids, "crc32" for their checksum alone. Null or empty text: just the separator. Null
-    and repeated ids are rows like any others; other columns are ignored; an empty table gives no rows.
+    may be shorter. Pieces are spread by hash, so every partition has the same mix of lengths however the files are laid
+    out, then packed in groups of at least `group` (the last of a partition may be smaller); partitions hold a group or
+    more on average. Memory is bounded; the room lost is about a sequence a group and what chance leaves uneven.
+    emit: "ids" for the token ids, "crc32" for their checksum alone. Null or empty text: just the separator. Null and
+    repeated ids are rows like any others; other columns are ignored; an empty table gives no rows.
     """
     batch_rows(spark)
     kind = "ids array<int>" if emit == "ids" else "ids_crc32 long"
+    names = ["doc_id", "piece", "start", "length", kind.split()[0]]
+    schema = f"doc_id long, piece int, start long, length long, {kind}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        end = np.array([separator], "<u4")
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal sequence
-            lengths = np.array([h[3] for h in held], np.int64)
-            bins, offsets = best_fit(lengths, max_tokens, **limits)
-            ids = pa.array([h[4] for h in held], pa.list_(pa.int32()) if emit == "ids" else pa.int64())
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[0] for h in held], pa.int64()),
-                    pa.array([h[1] for h in held], pa.int32()),
-                    pa.array([h[2] for h in held], pa.int64()),
-                    pa.array(lengths),
-                    ids,
-                    pa.array(bins + sequence),
-                    pa.array(offsets),
-                ],
-                ["doc_id", "piece", "start", "length", kind.split()[0], "sequence_id", "offset"],
-            )
-            sequence += int(bins.max()) + 1
-            held.clear()
-            return batch
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = encoder(tokenizer), np.array([separator], "<u4")
         for batch in batches:
+            held: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.concatenate([ids, end])
                 for piece, start in enumerate(range(0, len(ids), max_tokens)):
                     part = ids[start : start + max_tokens]
                     held.append((doc, piece, start, len(part), part.view("<i4") if emit == "ids" else zlib.crc32(part)))
-            if len(held) >= group:
-                yield flush()
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()) if emit == "ids" else pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], names)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, held, rows = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal sequence, rows
+            bins, offsets = best_fit(np.concatenate([h.column(3).to_numpy() for h in held]), max_tokens, **limits)
+            at = 0
+            for h in held:
+                own = slice(at, at := at + h.num_rows)
+                yield pa.RecordBatch.from_arrays([*h.columns, pa.array(bins[own] + sequence), pa.array(offsets[own])], [*names, "sequence_id", "offset"])
+            sequence += int(bins.max()) + 1
+            held.clear()
+            rows = 0
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= group:
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id long, piece int, start long, length long, {kind}, sequence_id long, offset long"
-    )
+    parts = max(1, min(parallelism(spark), docs.count() // group))
+    pieces = docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return pieces.repartition(parts, F.xxhash64(*names)).mapInArrow(fit, f"{schema}, sequence_id long, offset long")
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
