@@ -1,13 +1,16 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import importlib
+import itertools
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from tidepress.operators import archive as A
+from tidepress.operators import metrics as M
 from tidepress.operators import search as S
 from tidepress.plans import registry
 from tidepress.sources.parsers import body_simhash
@@ -57,3 +60,16 @@ def test_pages_of_diversified_results_are_disjoint(spark):
 def test_filters_with_nothing_given_hold(spark):
     e = A.entries(spark, DATA)
     assert e.filter(A.article_filter(after="no date")).count() == e.count() and e.filter(A.article_filter(within=[])).count() == 0
+
+
+def test_near_prints_pair_across_blocks(spark):
+    r = np.random.default_rng(4)
+    lo, hi = (r.integers(0, 1 << 32, 300).tolist() for _ in range(2))
+    got = M.hamming_pairs(spark.createDataFrame(list(zip(range(300), lo, hi, strict=True)), "vec_id long, lo long, hi long"), 24, block=40)
+    far = lambda i, j: (lo[i] ^ lo[j]).bit_count() + (hi[i] ^ hi[j]).bit_count()
+    assert sorted(map(tuple, got.collect())) == [(i, j, far(i, j)) for i, j in itertools.combinations(range(300), 2) if far(i, j) <= 24]
+
+
+def test_near_prints_pair_across_labels(spark):
+    label = {r["vec_id"]: r["label"] for r in A.table(spark, DATA, "embeddings").select("vec_id", "label").collect()}
+    assert any(label[r["vec_id"]] != label[r["other"]] for r in registry.QUERIES["hamming_pairs_all"](spark, DATA).collect())

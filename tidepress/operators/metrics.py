@@ -48,3 +48,15 @@ def banded_pairs(prints: DataFrame, bits: int = 4) -> DataFrame:
     first = Window.partitionBy("simhash")
     copies = known.withColumn("head", F.min("id").over(first)).filter("id <> head").select(F.col("head").alias("id"), F.col("id").alias("other"), F.lit(0).alias("bits"))
     return between.union(copies)
+
+
+def hamming_pairs(prints: DataFrame, bits: int, block: int = 2000) -> DataFrame:
+    """vec_id, other, bits: all pairs of prints (vec_id, halves lo and hi) of at most `bits` differing bits, compared block by block."""
+    n = max(1, -(-prints.count() // block))
+    rows = prints.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    a = rows.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.lit(n - 1)))).drop("at")
+    o = rows.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("at"))))
+    o = o.select("i", "j", F.col("vec_id").alias("v"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
+    near = a.join(o, ["i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("vec_id") < F.col("v"))) & (F.col("vec_id") != F.col("v")) & (far <= bits))
+    return near.select(F.least("vec_id", "v").alias("vec_id"), F.greatest("vec_id", "v").alias("other"), far.alias("bits"))

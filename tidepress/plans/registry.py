@@ -580,6 +580,12 @@ def hamming_pairs(spark, d):
     return s.join(o, "label").filter("vec_id < other").select("vec_id", "other", bits).filter("bits <= 24")
 
 
+@query(f"WITH {SIGNS} SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS bits FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 24")
+def hamming_pairs_all(spark, d):
+    half = lambda a: F.aggregate(F.transform(F.slice("embedding", a, 32), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return M.hamming_pairs(A.table(spark, d, "embeddings").select("vec_id", half(1).alias("lo"), half(33).alias("hi")), 24)
+
+
 # Upkeep and reports
 
 LIMITS = [("https://src1.example/feed", 3), ("https://src2.example/feed", 110)]
