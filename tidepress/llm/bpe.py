@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_rows, documents
+from .common import bound_batches, documents
 
 #: The byte-level split; no piece ends inside a run that starts with one blank, so such runs are encoded by themselves.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -39,6 +39,12 @@ class BacktrackingBpe:
     def __init__(self, path: str, keep: int = 250_000):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
+        steps = [config["pre_tokenizer"] or {}, *((config["pre_tokenizer"] or {}).get("pretokenizers") or [])]
+        split = [x for x in steps if x.get("type") == "ByteLevel"]
+        if config["normalizer"] or len(steps) > 1 or not split or split[0].get("add_prefix_space") or not split[0].get("use_regex", True) or config["model"]["type"] != "BPE":
+            raise ValueError(f"{path}: only byte-level BPE with the plain split and no normalizer is encoded here")
+        if any(t.get(k) for t in config["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path}: added tokens that take blanks or whole words only aren't handled")
         letters = _byte_letters()
         vocab: dict[str, int] = config["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in config["model"]["merges"]]
@@ -213,7 +219,7 @@ def model(path: str) -> BacktrackingBpe:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """doc_id, ids array<int>. Null text: no ids. Null or repeated doc_ids are rows like any others."""
-    batch_rows(spark, 1000)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
@@ -225,8 +231,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, text:
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, text: the inverse of encode_documents (null text comes back as empty)."""
-    batch_rows(spark, 1000)
+    """doc_id, text: the inverse of encode_documents (null text comes back as empty). Null ids: empty text."""
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
@@ -238,8 +244,11 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, tokenizer: str) ->
 
 
 def round_trip_digests(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, same_text."""
-    batch_rows(spark, 1000)
+    """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, same_text.
+
+    Null and empty texts have no ids; null and repeated doc_ids are rows like any others; an empty table gives no rows.
+    """
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)

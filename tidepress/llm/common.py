@@ -5,30 +5,59 @@ from __future__ import annotations
 import atexit
 import json
 import math
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 _FALLBACK: list[str] = []
+BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
+#: Rows that the cut points of text and fractional keys are taken from.
+SAMPLE = 20_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def batch_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the Arrow batches sent to Python, so that long texts don't pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches sent to Python by rows and by bytes, so that long texts don't pile up in one.
+
+    The bounds are the same for all operators and are only ever lowered, so a plan that runs later has them too; a
+    session with lower ones of its own keeps those.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if _bytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit[0] if unit not in ("", "b") else " ")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Unset: a temporary one, on a local master only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="tidepress-"))
         atexit.register(shutil.rmtree, _FALLBACK[0], True)
@@ -58,26 +87,43 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
-    """Ascending cut points that part the column's values into nearly equal buckets: at most buckets - 1 numbers."""
+def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
+    """Ascending cut points that part the column's values into nearly equal buckets: at most buckets - 1 values.
+
+    Whole numbers are cut by their quantiles; values of other types by those of a sample of about
+    SAMPLE rows, as many whatever the table's size. Cuts that aren't quite even cost balance, never rows.
+    """
     if buckets < 2:
         return []
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(column), shares, max(10_000, 20 * buckets)).alias("c")).first()["c"]
-    return sorted(set(cuts or []))
+    if isinstance(df.schema[column].dataType, IntegralType):
+        shares = [i / buckets for i in range(1, buckets)]
+        cuts = df.agg(F.percentile_approx(F.col(column), shares, max(10_000, 20 * buckets)).alias("c")).first()["c"]
+        return sorted(set(cuts or []))
+    known = df.select(column).filter(F.col(column).isNotNull())
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    seen = sorted(r[0] for r in known.sample(share, 42).collect())
+    return sorted({seen[len(seen) * i // buckets] for i in range(1, buckets)}) if seen else []
+
 
+def bucket_of(column: Column, bounds: list) -> Column:
+    """Number of bounds at or below the value (null: 0), found in two steps of about sqrt(len(bounds)) each.
 
-def bucket_of(column: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the value (null: 0), found in two steps of about sqrt(len(bounds)) each."""
+    The bounds take their type from their Python values; they must compare as the column's values do.
+    """
     if not bounds:
         return F.lit(0)
     width = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
-    inner = F.from_json(F.lit(json.dumps([[], *groups])), "array<array<bigint>>")
-    group = F.size(F.filter(heads, lambda h: h <= column))
-    within = F.size(F.filter(F.element_at(inner, group + 1), lambda h: h <= column))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + within).cast("int")
+    if all(isinstance(b, int) and not isinstance(b, bool) for b in bounds):
+        heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
+        inner = F.from_json(F.lit(json.dumps([[], *groups])), "array<array<bigint>>")
+    else:
+        heads = F.array(*(F.lit(g[0]) for g in groups))
+        inner = F.array(F.slice(heads, 1, 0), *(F.array(*map(F.lit, g)) for g in groups))
+    at = lambda edges: F.size(F.filter(edges, lambda h: h <= column))
+    group = at(heads)
+    place = (group - 1) * width + at(F.element_at(inner, group + 1))
+    return F.when(column.isNull() | (group == 0), F.lit(0)).otherwise(place).cast("int")
 
 
 def crc32_of(column: Column) -> Column:

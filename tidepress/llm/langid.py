@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, documents
+from .common import bound_batches, documents
 
 BUCKETS = 1 << 15
 SEGMENT = 64
@@ -118,7 +118,7 @@ def fit(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE_ROWS) -> Lang
     known = rows.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     total = known.select("lang").count()
     part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1))) + 1)
-    batch_rows(spark)
+    bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -147,9 +147,10 @@ def fit(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE_ROWS) -> Lang
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (its share), mixture (lang:share of the chosen set, largest first).
 
-    Null texts and texts without a letter are `und` with score 0. Other columns play no part.
+    Null texts and texts without a letter are `und` with score 0, and so is every text where no language was learned.
+    Null and repeated doc_ids are rows like any others; an empty table gives no rows. Other columns play no part.
     """
-    batch_rows(spark, 1000)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +183,7 @@ def floors(spark: SparkSession, rows: DataFrame, model: LanguageModel) -> np.nda
     class never asks more than a longer one; beyond the longest class, its floor holds.
     """
     known = rows.filter("lang is not null and text is not null").select("text")
-    batch_rows(spark, 1000)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,17 +200,24 @@ def floors(spark: SparkSession, rows: DataFrame, model: LanguageModel) -> np.nda
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel, floor: np.ndarray) -> DataFrame:
+def keep_known(spark: SparkSession, docs: DataFrame, model: LanguageModel, floor: np.ndarray, languages: list[str] | None = None, share: float = 0.5) -> DataFrame:
     """docs, all columns as they are, without the rows whose language is unknown: those without a letter, and those that
-    the best mixture of learned languages explains worse than `floor` asks at their length. Nothing is shuffled."""
-    batch_rows(spark, 1000)
+    the best mixture of learned languages explains worse than `floor` asks at their length.
+
+    With `languages`, the mixture's share of these must be at least `share` too. Null and empty texts go, repeated rows
+    fare alike, an empty table stays empty; a model without languages keeps nothing. Nothing is shuffled.
+    """
+    bound_batches(spark)
     at = docs.columns.index("text")
+    wanted = np.array([languages is None or x in languages for x in model.languages], bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            _, size, fit, count = model.infer(texts)
+            mix, size, fit, count = model.infer(texts)
             like = (size > 0) & (fit >= floor[length_class(count)])
+            if languages is not None:
+                like &= mix[:, wanted].sum(axis=1) >= share
             yield batch.filter(pa.array([bool(k and t and _LETTER(t)) for k, t in zip(like, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

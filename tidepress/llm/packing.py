@@ -12,13 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, documents, parallelism
+from .common import bound_batches, documents, parallelism
 from .tokens import encoder
 
 MAX_TOKENS = 2048
 SEPARATOR = 0
 GROUP = 16_384
 WEIGHTS = (1.0, 0.02, 0.02)
+#: Where a limit isn't given its term is this much lighter: less than a token's worth, so it decides between equals only.
+OPEN = 1e-6
 
 
 def best_fit(
@@ -34,10 +36,11 @@ def best_fit(
     A bin has three residual capacities, each as a share of its whole: tokens, documents, attention cost (the sum of
     squared lengths). A piece may only go where all three hold. Among those bins, rule "norm" takes the smallest
     weighted norm of what would be left, "dot" the largest weighted dot product of need and residual. Without
-    max_documents and max_attention those two can't bind and only break ties. Ties go to the oldest bin.
+    max_documents and max_attention those two can't bind and only break ties. Ties go to the oldest bin. A piece that
+    fits no empty bin is an error.
     """
     caps = np.array([max_tokens, max_documents or max_tokens, max_attention or max_tokens**2], np.float64)
-    w = np.array(weights)
+    w = np.array(weights) * [1, 1 if max_documents else OPEN, 1 if max_attention else OPEN]
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     order = np.lexsort((np.arange(n), -lengths))
@@ -89,7 +92,7 @@ def pack(
     emit: "ids" for the token ids, "crc32" for their checksum alone. Null or empty text: just the separator. Null and
     repeated ids are rows like any others; other columns are ignored; an empty table gives no rows.
     """
-    batch_rows(spark)
+    bound_batches(spark)
     kind = "ids array<int>" if emit == "ids" else "ids_crc32 long"
     names = ["doc_id", "piece", "start", "length", kind.split()[0]]
     schema = f"doc_id long, piece int, start long, length long, {kind}"

@@ -12,7 +12,7 @@ from math import isqrt, prod
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_rows, documents
+from .common import bound_batches, documents
 
 DEMO_KEY = b"tidepress demonstration key"
 ROUNDS = 8
@@ -245,7 +245,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes = DEMO_KEY) ->
 
     Other columns play no part; null and repeated doc_ids are rows like any others.
     """
-    batch_rows(spark, 1000)
+    bound_batches(spark)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes = DEMO_KEY) ->
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """docs with pseudonyms in text, and n_chars of the new text where there is such a column; all else as it is."""
-    batch_rows(spark, 1000)
+    bound_batches(spark)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 

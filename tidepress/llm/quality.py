@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, documents
+from .common import bound_batches, documents
 
 THRESHOLD = 0.3
 SAMPLE_ROWS = 8000
@@ -200,11 +200,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     """Learns from about `sample` labelled documents chosen by a hash of doc_id, or all of them where fewer.
 
     What is broadcast is the sample's ids and labels, what reaches the driver its lines' bins: both bounded by it.
+    Without labels of both kinds the model knows nothing and gives every text the labels' mean (0.5 without any).
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = known.count()
     part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1))) + 1)
-    batch_rows(spark)
+    bound_batches(spark)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +229,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
 
 def judge(spark: SparkSession, docs: DataFrame, model: LineField, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted. Null, empty and blank texts have the score of no evidence."""
-    batch_rows(spark, 1000)
+    """doc_id, score, predicted. Null, empty and blank texts have the score of no evidence.
+
+    Null and repeated doc_ids are rows like any others; equal texts score alike; an empty table gives no rows.
+    """
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +244,8 @@ def judge(spark: SparkSession, docs: DataFrame, model: LineField, threshold: flo
 
 
 def line_marginals(spark: SparkSession, docs: DataFrame, model: LineField) -> DataFrame:
-    """doc_id, line (of those that aren't blank), n_bytes, p_good."""
-    batch_rows(spark, 1000)
+    """doc_id, line (of those that aren't blank), n_bytes, p_good. Null, empty and blank texts have no lines, so no rows."""
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +260,7 @@ def line_marginals(spark: SparkSession, docs: DataFrame, model: LineField) -> Da
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: LineField, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns as they are, without the rows whose text scores below the threshold. Nothing is shuffled."""
-    batch_rows(spark, 1000)
+    bound_batches(spark)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, batch_rows, documents, parallelism
+from .common import Store, bound_batches, documents, parallelism
 from .components import components
 
 SEED = 42
@@ -45,7 +45,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(spark: SparkSession, docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long). Null, empty and wordless texts have fingerprint 0."""
-    batch_rows(spark)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -90,7 +90,7 @@ def links(spark: SparkSession, prints: DataFrame, store: Store, max_bits: int =
     if not 0 <= max_bits <= 2:
         raise ValueError("the grid finds up to 2 differing bits")
     rows = grid_rows(prints).repartition(2 * parallelism(spark), "cell").sortWithinPartitions("cell", "fp")
-    batch_rows(spark, 20_000)
+    bound_batches(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (fp, other) of small cells; (fp, null) for the members of large ones."""
@@ -117,9 +117,8 @@ def links(spark: SparkSession, prints: DataFrame, store: Store, max_bits: int =
             )
 
         held_c, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            c = np.concatenate([held_c, batch.column(0).to_numpy()])
-            f = np.concatenate([held_f, batch.column(1).to_numpy()])
+        for c, f in _gathered(batches, 1 << 14):
+            c, f = np.concatenate([held_c, c]), np.concatenate([held_f, f])
             last = int(np.searchsorted(c, c[-1])) if len(c) else 0
             if len(c) - last > 4 * cell:  # a large cell goes on: its members so far are marked, more than `cell` stay to show its size
                 mark = np.unique(f[last : len(f) - cell - 1])
@@ -144,6 +143,19 @@ def links(spark: SparkSession, prints: DataFrame, store: Store, max_bits: int =
     return found.filter("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")).union(stars)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of at least `rows` rows at a time, as arrays: small batches cost more than their rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(batch.num_columns)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)]
+
+
 def _bit(i: int):
     return F.lit((1 << i) - (1 << 64) * (i == 63))
 

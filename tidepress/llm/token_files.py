@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Store, batch_rows, documents, parallelism
+from .common import Store, bound_batches, documents, parallelism
 from .tokens import encoder
 
 END_ID = 2
@@ -28,7 +28,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
     Bloom filter on doc_id. Null text counts as empty (just the end id), null ids come first, rows with one id lie in
     order of their text's hash; other columns are ignored. An empty table gives no rows.
     """
-    batch_rows(spark, 1000)
+    bound_batches(spark)
     rows = docs.select("doc_id", "text")
     ranged = rows.repartitionByRange(parallelism(spark), "doc_id")
     sorted_rows = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -84,32 +84,49 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stripes(spark: SparkSession, path: str) -> DataFrame:
-    """One row a stripe (file, stripe, first_doc, last_doc, rows), read in parallel, a task a file."""
-    files = spark.read.orc(path).select(F.input_file_name().alias("file")).distinct()
+    """file, stripe, first_doc, last_doc, rows: one row a stripe, a task a stripe; no rows where there are no files.
+
+    The files are listed by their folder; how many stripes each has comes from its footer, the rest from the column of
+    document ids alone.
+    """
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    names = [(x.getPath().toUri().toString(),) for x in found if x.getPath().getName().endswith(".orc")]
+    files = spark.createDataFrame(names, "file string").repartition(max(1, len(names)))
+
+    def opened(uri: str):
+        from pyarrow import fs, orc
+
+        system, name = fs.FileSystem.from_uri(uri if uri.startswith("file:///") or not uri.startswith("file:/") else "file://" + uri[5:])
+        return orc.ORCFile(system.open_input_file(name))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(uri, i) for uri in batch.column(0).to_pylist() for i in range(opened(uri).nstripes)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32())], ["file", "stripe"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
-        from pyarrow import fs, orc
 
         for batch in batches:
             out = []
-            for uri in batch.column(0).to_pylist():
-                where, name = fs.FileSystem.from_uri(uri)
-                with where.open_input_file(name) as f:
-                    data = orc.ORCFile(f)
-                    for i in range(data.nstripes):
-                        ids = data.read_stripe(i, columns=["doc_id"]).column(0)
-                        ends = pc.min_max(ids)
-                        out.append((uri, i, ends["min"].as_py(), ends["max"].as_py(), len(ids)))
-            names = ["file", "stripe", "first_doc", "last_doc", "rows"]
+            for uri, i in zip(*(batch.column(j).to_pylist() for j in (0, 1)), strict=True):
+                ids = opened(uri).read_stripe(i, columns=["doc_id"]).column(0)
+                ends = pc.min_max(ids)
+                out.append((uri, i, ends["min"].as_py(), ends["max"].as_py(), len(ids)))
             kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["file", "stripe", "first_doc", "last_doc", "rows"])
 
-    return files.mapInArrow(look, "file string, stripe int, first_doc long, last_doc long, rows long")
+    found = files.mapInArrow(count, "file string, stripe int")
+    return found.repartition(parallelism(spark), "file", "stripe").mapInArrow(look, "file string, stripe int, first_doc long, last_doc long, rows long")
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:
-    """doc_id, part, pos, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+    """doc_id, part, pos, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
+
+    A row each, repeated and null doc_ids too; no rows for an empty table. ids must not be null.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
