@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ PRINT_BITS = 2
 MOST_BITS = 21
 RETRIES = 3
 ROUNDS = 9
+#: Sketches are sized to this many times the difference that the printed ones hint at (its deviation is some 40 %).
+SPARE = 2
 _CHECK = 977
 
 
@@ -27,27 +31,38 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(_CHECK))
 
 
-def _cells(key: Column, bits: Column, attempt: int) -> list[Column]:
+def _places(key: Column, bits: Column, attempt: int) -> list[Column]:
     """The key's cell in each of three parts of 2^bits cells."""
     h = F.xxhash64(key, F.lit(attempt))
     side = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
     return [(side * j + F.shiftrightunsigned(h, 21 * j).bitwiseAND(side - 1)).cast("int") for j in range(3)]
 
 
-def print_of(keys: Column) -> Column:
-    """The sketch as text: number of digests, then the xor of keys in each of 12 cells, as hexadecimal digits.
+def sketches(rows: DataFrame, *group: str) -> DataFrame:
+    """group columns, cells: the printed sketch of each group of rows s (+1 or -1), k; empty groups have no row.
 
-    Depends on the set of digests alone, so equal texts have equal fingerprints.
+    cells holds c, n (sum of s), k (xor of keys), h (xor of check hashes) of each of 12 cells. Sketches are linear, so
+    that of one set's rows with +1 and another's with -1 is the first one's sketch less the second's.
     """
     side = 1 << PRINT_BITS
+    seen = rows.withColumns({"h": _check(F.col("k"))} | {f"at{j}": F.shiftrightunsigned(F.xxhash64("k", F.lit(0)), 21 * j).bitwiseAND(side - 1) for j in range(3)})
+    cells = [(j, i) for j in range(3) for i in range(side)]
+    own = lambda j, i, x: F.when(F.col(f"at{j}") == i, F.col(x))
+    found = seen.groupBy(*group).agg(*(f(own(j, i, x)).alias(f"{x}_{j * side + i}") for j, i in cells for f, x in ((F.sum, "s"), (F.bit_xor, "k"), (F.bit_xor, "h"))))
+    some = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    cell = lambda c: F.struct(F.lit(c).alias("c"), some(F.col(f"s_{c}")).alias("n"), some(F.col(f"k_{c}")).alias("k"), some(F.col(f"h_{c}")).alias("h"))
+    return found.select(*group, F.array(*(cell(c) for c in range(3 * side))).alias("cells"))
+
 
-    def cell(i: Column) -> Column:
-        part, at = F.floor(i / side), i % side
-        h = lambda k: F.xxhash64(k, F.lit(0))
-        own = lambda k: F.when(part == 0, h(k)).when(part == 1, F.shiftrightunsigned(h(k), 21)).otherwise(F.shiftrightunsigned(h(k), 42)).bitwiseAND(side - 1) == at
-        return F.lpad(F.hex(F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: F.when(own(k), acc.bitwiseXOR(k)).otherwise(acc))), 16, "0")
+def print_of(size: Column, cells: Column) -> Column:
+    """A fingerprint: number of digests, then count, keys and checks of each cell, as hexadecimal digits.
 
-    return F.lower(F.concat(F.lpad(F.hex(F.size(keys)), 8, "0"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * side - 1)), cell), "")))
+    Depends on the set of digests alone, so equal texts have equal fingerprints; two of them subtract cell by cell.
+    """
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+    one = lambda c: F.concat(digits(c["n"], 8), digits(c["k"], 16), digits(c["h"], 16))
+    none = "0" * 40 * (3 << PRINT_BITS)
+    return F.lower(F.concat(digits(size, 8), F.coalesce(F.array_join(F.transform(cells, one), ""), F.lit(none))))
 
 
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -65,7 +80,6 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tops = tops.select("b", "top", F.coalesce(F.lead("b").over(by), F.min("b").over(Window.partitionBy(F.lit(1)))).alias("dest"))
     placed = (
         rows.join(F.broadcast(tops), "b")
-        .withColumn("keys", paragraphs(F.col("text")))
         .withColumn(
             "at",
             F.explode(
@@ -74,69 +88,136 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 )
             ),
         )
-        .select("at.b", "at.halo", "doc_id", "text", "keys")
+        .select("at.b", "at.halo", "doc_id", "text")
+        .repartition(4 * parallelism(spark), "b")  # texts alone cross the network; their digests are made behind it
+        .withColumn("keys", paragraphs(F.col("text")))
     )
     order = Window.partitionBy("b").orderBy("halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     following = {"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order)}
     return placed.withColumns(following).filter("halo = 0").select("doc_id", "text", "keys", "next_text", "next_keys")
 
 
-def differences(spark: SparkSession, store: Store, sets: DataFrame) -> DataFrame:
-    """rid, pair, delta: size of the symmetric difference of two digest sets, for rows rid, pair, plus, minus (arrays).
+def _exploded(rows: DataFrame, pairs: dict[int, tuple[str, str]], *more: str) -> DataFrame:
+    """rid, pair, s, k, more: a row for each digest of each pair's sets, with s = 1 in the first and -1 in the second."""
+    marked = lambda name, pair, sign: F.transform(name, lambda k: F.struct(F.lit(pair).alias("pair"), F.lit(sign).cast("long").alias("s"), k.alias("k")))
+    found = F.concat(*(marked(name, pair, sign) for pair, names in pairs.items() for name, sign in zip(names, (1, -1), strict=True)))
+    return rows.select("rid", *more, F.explode(found).alias("x")).select("rid", "x.pair", "x.s", "x.k", *more)
+
 
-    Both sets' sketches (count, xor of keys, xor of check hashes in each of three cells a key) are subtracted and
-    peeled: a cell that holds one key gives it away, and taking it out of its other cells frees more. A sketch has at
-    least twice the cells that both sets together could need; what still doesn't come out whole is tried again with
-    four times the cells and another hash, and what fails RETRIES times is compared key by key.
+def _from_prints(rows: DataFrame, pairs: dict[int, tuple[str, str]]) -> DataFrame:
+    """rid, code, c, n, k, h: the cells that differ between the printed sketches of each pair.
+
+    code holds the pair, the sketch's size and a hint of the difference: the differing keys' signs make a cell's count
+    a difference of two Poisson counts, so the counts' variance over the cells, times the cells a part, estimates how
+    many keys differ, however large the sets are.
     """
-    total = F.size("plus") + F.size("minus")
-    pending, solved = sets.filter(total > 0), None
-    done = sets.filter(total == 0).select("rid", "pair", F.lit(0).cast("long").alias("delta"))
-    for attempt in range(RETRIES):
-        bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(PRINT_BITS + (attempt > 0)), F.ceil(F.log2(total / 1.5)).cast("int")) + 2 * attempt)
-        sign = lambda name, s: F.transform(name, lambda k: F.struct(F.lit(s).cast("long").alias("s"), k.alias("k")))
-        keyed = (
-            pending.repartition(4 * parallelism(spark), "rid")
-            .select("rid", (F.col("pair") * 64 + bits).alias("code"), F.explode(F.concat(sign("plus", 1), sign("minus", -1))).alias("x"))
-            .select("rid", "code", F.col("x.s").alias("s"), F.col("x.k").alias("k"))
-        )
-        result = store.write(_peel(keyed, attempt), f"peel-{attempt}")
-        failed = result.filter("left > 0").select("rid", "pair")
-        good = result.filter("left = 0").select("rid", "pair", "delta")
-        solved = good if solved is None else solved.unionByName(good)
-        # Pairs without any difference leave no cells, so no row.
-        even = pending.select("rid", "pair").join(result.select("rid", "pair"), ["rid", "pair"], "left_anti").select("rid", "pair", F.lit(0).cast("long").alias("delta"))
-        done = done.unionByName(even)
+    side = 1 << PRINT_BITS
+    found = sketches(_exploded(rows, pairs), "rid", "pair")
+    total, square = (F.aggregate("cells", F.lit(0).cast("long"), f) for f in (lambda acc, x: acc + x["n"], lambda acc, x: acc + x["n"] * x["n"]))
+    mean = total / (3 * side)
+    hint = F.greatest(F.ceil(side * (square / (3 * side) - mean * mean)), F.abs(F.ceil(mean * side)))
+    code = F.shiftleft(hint.cast("long"), 8).bitwiseOR((F.col("pair") * 64 + PRINT_BITS).cast("long"))
+    cells = found.select("rid", code.alias("code"), F.explode("cells").alias("x")).select("rid", "code", "x.*")
+    return cells.filter("n <> 0 or k <> 0 or h <> 0")
+
+
+def differences(spark: SparkSession, store: Store, rows: DataFrame, pairs: dict[int, tuple[str, str]]) -> DataFrame:
+    """rid, pair, delta: sizes of the symmetric differences of two digest sets; pairs without any difference have no row.
+
+    rows: rid and the array columns that pairs name. First the two printed sketches are subtracted and peeled: a cell
+    that holds one key gives it away, and taking it out of its other cells frees more. Where that doesn't come out
+    whole, sketches sized to the difference that the printed ones hint at are subtracted and peeled; what fails again
+    gets four times the cells and another hash each time, and what fails RETRIES times is compared key by key.
+    """
+    solved, failed = [], None
+    sets = list(dict.fromkeys(n for names in pairs.values() for n in names))
+    for attempt in range(RETRIES + 1):
+        near = rows.select("rid", *sets).repartition(4 * parallelism(spark), "rid")
+        if failed is None:
+            cells = _from_prints(near, pairs)
+        else:
+            keyed = _exploded(near.join(failed.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pair", "hint"))).alias("hints")), "rid"), pairs, "hints")
+            goal = F.greatest(F.col("hints")[F.col("pair")] * SPARE, F.lit(6))
+            bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2(goal / 1.5)).cast("int") + 2 * (attempt - 1))
+            code = F.shiftleft(F.col("hints")[F.col("pair")], 8).bitwiseOR((F.col("pair") * 64 + bits).cast("long"))
+            cells = _cells(keyed.filter(F.col("hints")[F.col("pair")].isNotNull()).select("rid", code.alias("code"), "s", "k"), attempt)
+        result = store.write(_peel(cells, attempt), f"peel-{attempt}")
+        solved.append(result.filter("left = 0").select("rid", "pair", "delta"))
+        failed = result.filter("left > 0").select("rid", "pair", "hint")
         if failed.isEmpty():
-            return done.unionByName(solved)
-        pending = store.write(pending.join(failed, ["rid", "pair"], "left_semi"), f"again-{attempt}")
-    sign = lambda name, s: F.transform(name, lambda k: F.struct(F.lit(s).alias("s"), k.alias("k")))
-    rest = pending.select("rid", "pair", F.explode(F.concat(sign("plus", 1), sign("minus", -1))).alias("x")).groupBy("rid", "pair", "x.k").agg(F.sum("x.s").alias("s"))
-    return done.unionByName(solved).unionByName(rest.groupBy("rid", "pair").agg(F.count_if(F.col("s") != 0).alias("delta")))
+            return _union(solved)
+        if attempt:
+            rows = store.write(rows.join(failed.select("rid").distinct(), "rid", "left_semi"), f"again-{attempt}")
+    rest = _exploded(rows, pairs).join(failed, ["rid", "pair"], "left_semi").groupBy("rid", "pair", "k").agg(F.sum("s").alias("s"))
+    solved.append(rest.groupBy("rid", "pair").agg(F.count_if(F.col("s") != 0).alias("delta")))
+    return _union(solved)
 
 
-def _peel(keyed: DataFrame, attempt: int) -> DataFrame:
-    """rid, pair, delta (keys found), left (cells that stay filled). Rows with one rid lie in one partition."""
-    group = ["rid", "code"]
-    bits = F.col("code") % 64
-    taken = lambda s, k: [F.struct(c.alias("c"), s.alias("n"), k.alias("k"), _check(k).alias("h")) for c in _cells(k, bits, attempt)]
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
 
-    def add_up(rows: DataFrame) -> DataFrame:
-        x = rows.select(*group, "x.c", "x.n", "x.k", "x.h")
-        return x.groupBy(*group, "c").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).filter("n <> 0 or k <> 0 or h <> 0")
+def _add_up(rows: DataFrame, *group: str) -> DataFrame:
+    x = rows.select(*group, "x.c", "x.n", "x.k", "x.h")
+    return x.groupBy(*group, "c").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).filter("n <> 0 or k <> 0 or h <> 0")
 
-    now = add_up(keyed.select(*group, F.explode(F.array(*taken(F.col("s"), F.col("k")))).alias("x")))
+
+def _taken(sign: Column, key: Column, bits: Column, attempt: int) -> list[Column]:
+    return [F.struct(c.alias("c"), sign.alias("n"), key.alias("k"), _check(key).alias("h")) for c in _places(key, bits, attempt)]
+
+
+def _cells(keyed: DataFrame, attempt: int) -> DataFrame:
+    """rid, code, c, n, k, h: the subtracted sketches' cells that aren't empty, of rows rid, code, s (+1 or -1), k."""
+    found = F.array(*_taken(F.col("s"), F.col("k"), F.col("code") % 64, attempt))
+    return _add_up(keyed.select("rid", "code", F.explode(found).alias("x")), "rid", "code")
+
+
+def _peeled(now: DataFrame, attempt: int, keep: bool = False) -> DataFrame:
+    """The cells after ROUNDS x 3 turns; rows with c < 0 stand for recovered keys: their number, or (keep) one row each."""
+    group = ["rid", "code", "r"] if keep else ["rid", "code"]
+    bits = F.col("code") % 64
     side = F.call_function("shiftleft", F.lit(1), bits)
     own, zero = F.struct("c", "n", "k", "h"), F.lit(0).cast("long")
     count = F.struct(F.lit(-1).alias("c"), F.lit(1).cast("long").alias("n"), zero.alias("k"), zero.alias("h"))
+    if keep:
+        now = now.withColumn("r", F.lit(None).cast("long"))
+        count = F.struct(F.lit(-1).alias("c"), F.col("n"), F.col("k"), F.col("h"))
     for turn in range(ROUNDS):
         # In a turn one part of the cells gives its keys: there each key has just one cell, so none is taken twice.
         first = side * (turn % 3)
         pure = (F.col("c") >= first) & (F.col("c") < first + side) & (F.abs("n") == 1) & (F.col("h") == _check(F.col("k")))
-        rows = F.when(pure, F.array(own, count, *taken(-F.col("n"), F.col("k")))).otherwise(F.array(own))
-        now = add_up(now.select(*group, F.explode(rows).alias("x")))
-    pair = F.floor(F.col("code") / 64).cast("int")
-    return now.groupBy(*group).agg(F.sum(F.when(F.col("c") < 0, F.col("n")).otherwise(0)).alias("delta"), F.count_if(F.col("c") >= 0).alias("left")).select("rid", pair.alias("pair"), "delta", "left")
+        rows = F.when(pure, F.array(own, count, *_taken(-F.col("n"), F.col("k"), bits, attempt))).otherwise(F.array(own))
+        now = now.select("rid", "code", *(["r"] if keep else []), F.explode(rows).alias("x"))
+        if keep:
+            now = now.withColumn("r", F.when(F.col("x.c") < 0, F.col("x.k")))
+        now = _add_up(now, *group)
+    return now
+
+
+def _peel(cells: DataFrame, attempt: int) -> DataFrame:
+    """rid, pair, hint, delta (keys found), left (cells that stay filled). Rows with one rid lie in one partition."""
+    now = _peeled(cells, attempt)
+    done = now.groupBy("rid", "code").agg(F.sum(F.when(F.col("c") < 0, F.col("n")).otherwise(0)).alias("delta"), F.count_if(F.col("c") >= 0).alias("left"))
+    pair = F.shiftrightunsigned(F.col("code"), 6).bitwiseAND(3).cast("int")
+    return done.select("rid", pair.alias("pair"), F.shiftrightunsigned("code", 8).alias("hint"), "delta", "left")
+
+
+def differing_digests(spark: SparkSession, versions: DataFrame) -> DataFrame:
+    """doc_id, side (1: only the old text has the paragraph, -1: only the new one), digest; recovered by peeling.
+
+    versions: doc_id, old, new (texts; null counts as empty; null and repeated doc_ids are rows like any others). Which
+    paragraph a digest stands for shows by `paragraphs` of either text. Equal texts and empty tables give no rows; what
+    doesn't come out of sketches sized to both sets is compared key by key.
+    """
+    store, pairs = Store(spark, "iblt-digests"), {0: ("plus", "minus")}
+    rows = store.write(versions.select(F.monotonically_increasing_id().alias("rid"), "doc_id", paragraphs(F.col("old")).alias("plus"), paragraphs(F.col("new")).alias("minus")), "sets")
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(PRINT_BITS), F.ceil(F.log2((F.size("plus") + F.size("minus") + 1) / 1.5)).cast("int")))
+    sized = rows.repartition(4 * parallelism(spark), "rid").withColumn("code", bits.cast("long"))
+    found = store.write(_peeled(_cells(_exploded(sized, pairs, "code"), 1), 1, keep=True), "peeled")
+    stuck = found.filter("c >= 0").select("rid").distinct()
+    whole = found.filter("c < 0").join(stuck, "rid", "left_anti").select("rid", F.col("n").alias("side"), F.col("k").alias("digest"))
+    slow = _exploded(rows.join(stuck, "rid", "left_semi"), pairs).groupBy("rid", "k").agg(F.sum("s").alias("side")).filter("side <> 0").select("rid", "side", F.col("k").alias("digest"))
+    return whole.union(slow).join(rows.select("rid", "doc_id"), "rid").select("doc_id", F.col("side").cast("int").alias("side"), "digest")
 
 
 def likeness(plus: Column, minus: Column, delta: Column) -> Column:
@@ -146,7 +227,7 @@ def likeness(plus: Column, minus: Column, delta: Column) -> Column:
 
 
 def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness.
+    """Fingerprints of each text and of its edited text, and their likeness: Jaccard over the sets they stand for.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document's. Null texts are empty; an empty table gives no rows; repeated rows keep a row each; other columns are
@@ -162,25 +243,28 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))")).alias("edited"),
     )
     base = store.write(
-        edited.select("doc_id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
-        .withColumn("fingerprint", print_of(F.col("keys")))
-        .withColumn("edited_fingerprint", print_of(F.col("edited_keys")))
-        .withColumn("rid", F.monotonically_increasing_id()),
+        edited.select("doc_id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys")).withColumn(
+            "rid", F.monotonically_increasing_id()
+        ),
         "base",
     )
-    pair = lambda number, other: F.struct(F.lit(number).alias("pair"), F.col("keys").alias("plus"), F.col(other).alias("minus"))
-    sets = base.select("rid", F.explode(F.array(pair(1, "edited_keys"), pair(2, "next_keys"))).alias("x")).select("rid", "x.*")
-    found = differences(spark, store, sets).groupBy("rid").agg(F.max(F.when(F.col("pair") == 1, F.col("delta"))).alias("d1"), F.max(F.when(F.col("pair") == 2, F.col("delta"))).alias("d2"))
-    size = {k: F.size(k) for k in ("keys", "edited_keys", "next_keys")}
-    out = base.select("rid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *(s.alias(f"n_{k}") for k, s in size.items())).join(found, "rid")
+    pairs = {1: ("keys", "edited_keys"), 2: ("keys", "next_keys")}
+    found = differences(spark, store, base, pairs).groupBy("rid").agg(*(F.max(F.when(F.col("pair") == i, F.col("delta"))).alias(f"d{i}") for i in pairs))
+    own = lambda name, number: F.transform(name, lambda k: F.struct(F.lit(number).alias("of"), k.alias("k")))
+    near = base.select("rid", "keys", "edited_keys").repartition(4 * parallelism(spark), "rid")
+    each = near.select("rid", F.explode(F.concat(own("keys", 0), own("edited_keys", 1))).alias("x")).select("rid", "x.of", "x.k", F.lit(1).cast("long").alias("s"))
+    prints = sketches(each, "rid", "of").groupBy("rid").agg(*(F.max(F.when(F.col("of") == i, F.col("cells"))).alias(f"cells{i}") for i in (0, 1)))
+    size = [F.size(k).alias(f"n_{k}") for k in ("keys", "edited_keys", "next_keys")]
+    out = base.select("rid", "doc_id", "n_chars", "edited_sha256", *size).join(prints, "rid", "left").join(found, "rid", "left")
+    delta = lambda i: F.coalesce(f"d{i}", F.lit(0))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("n_keys"), F.col("n_edited_keys"), F.col("d1")).alias("near_edited"),
-        likeness(F.col("n_keys"), F.col("n_next_keys"), F.col("d2")).alias("near_next"),
+        print_of(F.col("n_keys"), F.col("cells0")).alias("fingerprint"),
+        print_of(F.col("n_edited_keys"), F.col("cells1")).alias("edited_fingerprint"),
+        likeness(F.col("n_keys"), F.col("n_edited_keys"), delta(1)).alias("near_edited"),
+        likeness(F.col("n_keys"), F.col("n_next_keys"), delta(2)).alias("near_next"),
     )
 
 
