@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -41,10 +42,11 @@ def _pieces(text: str) -> list[bytes] | None:
 class WordEncoder:
     """encode(texts) gives the ids that the library gives for each whole text, as numpy arrays of uint32.
 
-    keep bounds the remembered pieces, and so the memory; beyond it they are forgotten and encoded anew.
+    keep bounds the remembered pieces, and so the memory; beyond it the later half is forgotten and encoded anew. Common
+    words are met early, so the half that stays is what is asked for most.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,7 +95,7 @@ class WordEncoder:
         for i in range(0, len(texts), 256):
             split = [_pieces(t or "") for t in texts[i : i + 256]]
             if len(self.pieces) > self.keep:
-                self.pieces = {b"": b""}
+                self.pieces = dict(islice(self.pieces.items(), self.keep // 2)) | {b"": b""}
             new = set().union(*(x for x in split if x is not None)).difference(self.pieces)
             if new:
                 self._learn_pieces(list(new))
