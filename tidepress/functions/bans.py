@@ -2,45 +2,89 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRONG = ["checking your browser", "just a moment", "attention required", "verify you are human", "are you a robot", "enable javascript and cookies", "ddos protection by", "access to this page has been denied", "pardon our interruption"]
-WEAK = ["captcha", "access denied", "unusual traffic", "bot detection"]
-VENDORS = {"cloudflare": "cloudflare|cf-ray", "akamai": "akamai", "datadome": "datadome", "imperva": "incapsula|imperva", "perimeterx": "perimeterx|px-captcha"}
-
-
-def _any(text: Column, phrases: list[str]) -> Column:
-    return reduce(Column.__or__, (text.contains(p) for p in phrases))
+#: Vendor, kind and expression of what only a challenge or block page says; the first that matches names the answer.
+SURE = [
+    ("cloudflare", "challenge", "just a moment"),
+    ("cloudflare", "challenge", "checking (your browser before accessing|if the site connection is secure)"),
+    ("cloudflare", "challenge", "enable javascript and cookies to continue"),
+    ("cloudflare", "blocked", r"attention required!?\s*[-–|]?\s*cloudflare"),
+    ("cloudflare", "challenge", "(__cf_chl|cf-mitigated|cf-chl-|cf_chl_opt)"),
+    ("cloudflare", "blocked", r"(access denied.*cloudflare|error\s*1020)"),
+    ("imperva", "blocked", r"request unsuccessful\.?\s*incapsula"),
+    ("imperva", "blocked", r"(incapsula incident id|_incap_ses|incident id:\s*[0-9])"),
+    ("imperva", "blocked", "pardon our interruption"),
+    ("akamai", "blocked", r"reference\s*#\s*[0-9]+\.[0-9a-f]{6,}"),
+    ("akamai", "challenge", r"(_abck\b|akamai bot manager)"),
+    ("sucuri", "blocked", "(cloudproxy|sucuri website firewall|access denied - sucuri)"),
+    ("datadome", "challenge", "datadome"),
+    ("perimeterx", "challenge", "(perimeterx|px-captcha)"),
+    ("distil", "challenge", "(distil captcha|distil_r_captcha)"),
+]
+#: What an article may say too: counts in short pages only.
+HINTS = [
+    ("captcha", "challenge", "(hcaptcha|recaptcha)"),
+    ("captcha", "challenge", "(verify you are human|are you a (robot|human))"),
+    ("captcha", "blocked", "(automated queries|unusual traffic from your computer network)"),
+    ("cloudflare", "challenge", "(protected by cloudflare|ddos protection by)"),
+]
+#: Lines of "name: value" headers that name the vendor.
+HEADERS = [
+    ("cloudflare", r"(server:\s*cloudflare\b|cf-ray:|cf-mitigated:)"),
+    ("akamai", r"(server:\s*akamaighost\b|x-akamai-)"),
+    ("sucuri", "x-sucuri-(block|cache|id):"),
+    ("datadome", "x-datadome"),
+    ("imperva", r"(x-iinfo:|x-cdn:\s*incapsula|server:.*incapsula)"),
+    ("waf", r"server:\s*(zonealarm|wts/waf)"),
+]
+
+
+def _first(text: Column, rules: list[tuple[str, str, str]], also: Column | None = None) -> list[Column]:
+    hold = lambda p: text.rlike(f"(?i){p}") if also is None else also & text.rlike(f"(?i){p}")
+    return [F.when(hold(p), F.struct(F.lit(kind).alias("kind"), F.lit(by).alias("vendor"))) for by, kind, p in rules]
 
 
 def interstitial(body: Column, weak_below: int = 15_000) -> Column:
-    """Whether a page is a challenge: a strong phrase anywhere, or a weak one in a short page."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    return _any(low, STRONG) | ((F.length(low) <= weak_below) & _any(low, WEAK))
+    """kind, vendor of a challenge or block page: a sure sign anywhere, or a hint in a short page; null for other pages."""
+    text = F.coalesce(body, F.lit(""))
+    return F.coalesce(*_first(text, SURE), *_first(text, HINTS, F.length(text) <= weak_below))
 
 
 def vendor(body: Column, headers: Column) -> Column:
-    seen = F.lower(F.concat_ws(" ", F.substring(F.coalesce(body, F.lit("")), 1, 8000), headers))
-    return F.coalesce(*(F.when(seen.rlike(p), F.lit(v)) for v, p in VENDORS.items()))
+    """Who answers, by sure signs in headers and the first 8,000 characters of the body, then by header lines."""
+    seen = F.concat(F.coalesce(headers, F.lit("")), F.lit("\n"), F.substring(F.coalesce(body, F.lit("")), 1, 8000))
+    return F.coalesce(*(x["vendor"] for x in _first(seen, SURE)), *(F.when(seen.rlike(f"(?im)^{p}"), F.lit(by)) for by, p in HEADERS))
 
 
-def ban_kind(status: Column, body: Column, headers: Column) -> Column:
-    challenge, by = interstitial(body), vendor(body, headers)
+def ban(status: Column, body: Column, headers: Column) -> Column:
+    """kind (rate-limited, blocked, challenge) and vendor of an answer that is a ban; null for any other.
+
+    Missing sign-ins and plain server errors are none; a 503 is one where it carries a challenge or names a vendor.
+    """
+    by, page = vendor(body, headers), interstitial(body)
+    own = lambda kind: F.struct(F.lit(kind).alias("kind"), by.alias("vendor"))
     return (
-        F.when(status.isin(401, 407), F.lit(None).cast("string"))
-        .when(status == 429, "rate-limited")
-        .when(status == 403, "blocked")
-        .when((status == 503) & (challenge | by.isNotNull()), "interstitial")
-        .when(status >= 500, F.lit(None).cast("string"))
-        .when(challenge, "interstitial")
+        F.when(status.isin(401, 407), F.lit(None))
+        .when(status == 429, own("rate-limited"))
+        .when(status == 403, own("blocked"))
+        .when(status == 503, F.coalesce(page, F.when(by.isNotNull(), own("challenge"))))
+        .when(status >= 500, F.lit(None))
+        .otherwise(page)
     )
 
 
-def describe(kind: Column, by: Column, status: Column) -> Column:
-    return F.when(kind.isNotNull(), F.concat(kind, F.coalesce(F.concat(F.lit(" by "), by), F.lit("")), F.lit(" (HTTP "), status.cast("string"), F.lit(")")))
+def describe(found: Column, status: Column) -> Column:
+    """The ban in words: what happened, who did it, the status; empty where there is none."""
+    by, code = found["vendor"], F.concat(F.lit(" (HTTP "), status.cast("string"), F.lit(")"))
+    named = lambda start, plain: F.concat(F.coalesce(F.concat(F.lit(start), by), F.lit(plain)), code)
+    why = (
+        F.when(status == 429, named("rate limited by ", "rate limited"))
+        .when(status == 403, named("blocked by ", "request blocked"))
+        .otherwise(F.concat(by, F.lit(" "), found["kind"]))
+    )
+    return F.coalesce(F.concat(why, F.coalesce(F.concat(F.lit(" ["), by, F.lit("]")), F.lit("")), F.lit(" HTTP "), status.cast("string")), F.lit(""))
 
 
 def retry_after_ms(value: Column, now_ms: Column) -> Column:

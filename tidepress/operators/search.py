@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tidepress.functions import text as T
 from tidepress.functions.stemming import stem
+from tidepress.storage import Tables
 
 from .archive import DAY_MS, NOW_MS
 
 K1, B = 1.2, 0.75
 #: Query-side frames are broadcast only below this many rows; beyond, the join shuffles.
 SMALL = 50_000
+#: Places by which similarities are ranked; beyond them sums differ by the order of their terms.
+SIM_DIGITS = 9
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -29,15 +32,27 @@ def top(rows: DataFrame, k: int, by: str = "score", group: str = "query_id", tie
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _whole(places: DataFrame, df: DataFrame, terms: DataFrame, wanted: DataFrame, keep: DataFrame | None) -> DataFrame:
+    """query_id, chunk_id, term, df and places' columns, for the chunks that hold every term of a query.
+
+    Each query starts from its rarest term's chunks, so a frequent term costs no more than the rarest beside it.
+    """
+    asked = terms.join(df, "term")
+    some = asked.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("known"))
+    lead = some.join(wanted, "query_id").filter("known = wanted").select("query_id", "term", "wanted")
+    first = places.select("term", "chunk_id").join(small(lead), "term").select("query_id", "chunk_id", "wanted")
+    if keep is not None:
+        first = first.join(keep.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    rows = first.join(small(asked), "query_id").join(places, ["term", "chunk_id"])
+    return rows.withColumn("found", F.count("*").over(Window.partitionBy("query_id", "chunk_id"))).filter("found = wanted")
+
+
 def _bm25(hits: DataFrame, stats: DataFrame, terms: DataFrame, n_terms: DataFrame, keep: DataFrame | None, k: int) -> DataFrame:
     """hits: term, chunk_id, tf, dl for the query terms; stats: one row n, avgdl. Corpus figures ignore `keep`."""
+    hits = Tables(hits.sparkSession, "bm25").write(hits, "hits")  # read three times below
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(terms, "term")
-    if keep is not None:
-        rows = rows.join(keep.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    rows = rows.crossJoin(F.broadcast(stats))
-    scored = rows.groupBy("query_id", "chunk_id").agg(F.sum(_weight()).alias("score"), F.count("*").alias("found"))
-    return top(scored.join(n_terms, "query_id").filter("found = wanted").select("query_id", "chunk_id", F.round("score", 6).alias("score")), k)
+    rows = _whole(hits, df, terms, n_terms, keep).crossJoin(F.broadcast(stats))
+    return top(rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(_weight()), 6).alias("score")), k)
 
 
 def _terms(queries: DataFrame, shortest: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -79,18 +94,46 @@ def bm25_substrings(chunks: DataFrame, queries: DataFrame, k: int = 60, keep: Da
     low = chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     stats = low.agg(F.count("*").alias("n"), F.avg(F.greatest(F.length("low") - 2, F.lit(0))).alias("avgdl"))
     asked = small(terms.select("term").distinct())
-    length = F.greatest(F.length("low") - 2, F.lit(0))
     words = low.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("low")))).alias("word")).filter(F.length("word") >= 3)
     grams = words.select("word").distinct().select("word", F.explode(F.expr("transform(sequence(1, length(word) - 2), i -> substring(word, i, 3))")).alias("gram"))
     forms = grams.join(asked.withColumn("gram", F.substring("term", 1, 3)), "gram").filter(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
     places = words.join(forms, "word").select("term", "chunk_id").distinct()
+    return _substring_scores(places, terms, wanted, low, stats, k, keep)
+
+
+def indexed_words(index, queries: DataFrame, k: int = 60, keep: DataFrame | None = None, stems: bool = False) -> DataFrame:
+    """bm25_words over a written index (postings.Index): only the asked terms' postings are read past the scan."""
+    terms, wanted = _terms(queries)
+    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if not stems:
+        hits = index.postings.join(small(terms.select("term").distinct()), "term", "left_semi")
+        return _bm25(hits.select("term", "chunk_id", "dl", "tf"), stats, terms, wanted, keep, k)
+    cut = F.pandas_udf(lambda s: s.map(stem), "string")
+    terms = terms.select("query_id", cut("term").alias("term")).distinct()
+    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    forms = index.vocabulary.select(F.col("term").alias("form"), F.col("stem").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    found = index.postings.withColumnRenamed("term", "form").join(small(forms), "form")
+    return _bm25(found.groupBy("term", "chunk_id", "dl").agg(F.sum("tf").alias("tf")), stats, terms, wanted, keep, k)
+
+
+def indexed_substrings(index, queries: DataFrame, k: int = 60, keep: DataFrame | None = None) -> DataFrame:
+    """bm25_substrings over a written index: the vocabulary's trigrams find words, their postings chunks."""
+    terms, wanted = _terms(queries, 3)
+    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("width").alias("avgdl"))
+    asked = terms.select("term").distinct()
+    grams = index.vocabulary.select("term").filter(F.length("term") >= 3).select(F.col("term").alias("word"), F.explode(F.expr("array_distinct(transform(sequence(1, length(term) - 2), i -> substring(term, i, 3)))")).alias("gram"))
+    forms = grams.join(small(asked.withColumn("gram", F.substring("term", 1, 3))), "gram").filter(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
+    places = index.postings.select(F.col("term").alias("word"), "chunk_id").join(small(forms), "word").select("term", "chunk_id").distinct()
+    low = index.chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return _substring_scores(places, terms, wanted, low, stats, k, keep)
+
+
+def _substring_scores(places: DataFrame, terms: DataFrame, wanted: DataFrame, low: DataFrame, stats: DataFrame, k: int, keep: DataFrame | None) -> DataFrame:
+    places = Tables(places.sparkSession, "bm25").write(places, "places")
     df = places.groupBy("term").agg(F.count("*").alias("df"))
-    if keep is not None:
-        places = places.join(keep.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    whole = places.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("found")).join(wanted, "query_id").filter("found = wanted")
-    rows = whole.select("query_id", "chunk_id").join(terms, "query_id").join(df, "term").join(low, "chunk_id").crossJoin(F.broadcast(stats))
+    rows = _whole(places, df, terms, wanted, keep).select("query_id", "chunk_id", "term", "df").join(low, "chunk_id").crossJoin(F.broadcast(stats))
     tf = F.expr("size(regexp_extract_all(low, concat('(?=', term, ')'), 0))").cast("double")
-    rows = rows.select("query_id", "chunk_id", "df", "n", "avgdl", length.alias("dl"), tf.alias("tf"))
+    rows = rows.select("query_id", "chunk_id", "df", "n", "avgdl", F.greatest(F.length("low") - 2, F.lit(0)).alias("dl"), tf.alias("tf"))
     return top(rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(_weight()), 6).alias("score")), k)
 
 
@@ -99,40 +142,64 @@ def _weight():
     return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
-def vector_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 200, keep: DataFrame | None = None, block: int = 1024) -> DataFrame:
+def _packed(rows: DataFrame, id_name: str, size: int) -> DataFrame:
+    """ids, vectors: rows of up to `size` vectors each, as the bytes of 64-bit numbers; unit length, zero vectors as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size]
+                yield pd.DataFrame({"ids": [part[id_name].to_numpy("<i8").tobytes()], "vectors": [_unit(part["embedding"]).tobytes()]})
+
+    return rows.select(id_name, "embedding").mapInPandas(run, "ids binary, vectors binary")
+
+
+def _unit(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best(chunk: np.ndarray, m: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best rows of m for each query, ranked as they are in the end: by SIM_DIGITS places, then chunk_id."""
+    sim = np.round(m @ q.T, SIM_DIGITS)
+    n = min(k, len(chunk))
+    at = np.lexsort((np.broadcast_to(chunk[:, None], sim.shape), -sim), axis=0)[:n]
+    return pd.DataFrame({"query_id": np.tile(ids, n), "chunk_id": chunk[at].ravel(), "sim": np.take_along_axis(sim, at, axis=0).ravel()})
+
+
+def vector_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 200, keep: DataFrame | None = None, block: int = 1024, most: int = SMALL) -> DataFrame:
     """Exact cosine top-k of every query against all vectors: query_id, chunk_id, sim, rank; only sim > 0.
 
-    vectors: chunk_id, embedding; queries: query_id, embedding. Queries go in blocks of `block` to each batch of
-    vectors as one matrix product, and each batch hands on its best k a query.
+    vectors: chunk_id, embedding; queries: query_id, embedding. Up to `most` queries go in blocks of `block` to each
+    batch of vectors as one matrix product; more are packed on the executors, block by block, and every block of
+    queries meets every block of vectors once. Each product hands on its best k a query, so ties fall alike either way.
     """
     rows = vectors if keep is None else vectors.join(keep.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    parts = []
-    asked = queries.select("query_id", "embedding").toPandas() if queries.limit(SMALL + 1).count() <= SMALL else None
-    if asked is None:
-        raise ValueError(f"more than {SMALL} queries at once")
-    for at in range(0, max(len(asked), 1), block):
-        part = asked.iloc[at : at + block]
-        ids = part["query_id"].to_numpy(np.int64)
-        q = np.array([np.asarray(v, np.float64) for v in part["embedding"]]).reshape(len(ids), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(ids) else q
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+    schema = "query_id long, chunk_id long, sim double"
+    if queries.limit(most + 1).count() > most:
+        both = _packed(queries, "query_id", block).toDF("query_ids", "query_vectors").crossJoin(_packed(rows, "chunk_id", block))
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                sim = m @ q.T
-                chunk = pdf["chunk_id"].to_numpy(np.int64)
-                n = min(k, len(chunk))
-                at = np.lexsort((np.broadcast_to(chunk[:, None], sim.shape), -np.round(sim, 9)), axis=0)[:n]
-                yield pd.DataFrame({"query_id": np.tile(ids, n), "chunk_id": chunk[at].ravel(), "sim": np.take_along_axis(sim, at, axis=0).ravel()})
-
-        parts.append(rows.select("chunk_id", "embedding").mapInPandas(best, "query_id long, chunk_id long, sim double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top(found.filter("sim > 0").withColumn("sim", F.round("sim", 6)), k, "sim")
+                for x in pdf.itertuples():
+                    ids, chunk = (np.frombuffer(r, "<i8") for r in (x.query_ids, x.ids))
+                    q, m = (np.frombuffer(r, np.float64).reshape(n, -1) for r, n in ((x.query_vectors, len(ids)), (x.vectors, len(chunk))))
+                    yield _best(chunk, m, ids, q, k)
+
+        found = both.mapInPandas(meet, schema)
+    else:
+        asked = queries.select("query_id", "embedding").toPandas()
+        ids, q = asked["query_id"].to_numpy(np.int64), _unit(asked["embedding"])
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    m = _unit(pdf["embedding"])
+                    for at in range(0, len(ids), block):
+                        yield _best(pdf["chunk_id"].to_numpy(np.int64), m, ids[at : at + block], q[at : at + block], k)
+
+        found = rows.select("chunk_id", "embedding").mapInPandas(best, schema)
+    return top(found.filter("sim > 0"), k, "sim").withColumn("sim", F.round("sim", 6))
 
 
 def fuse(lists: dict[str, DataFrame], k: int = 60) -> DataFrame:

@@ -2,35 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepress.functions import text as T
 from tidepress.operators import archive as A
+from tidepress.operators import metrics as M
 from tidepress.operators import search as S
+from tidepress.operators.postings import Index, chunk_rows
 from tidepress.sources import parsers
+from tidepress.storage import Tables
 
 
-def hybrid(spark: SparkSession, rows: DataFrame, queries: DataFrame, settings: A.Settings | None = None, limit: int | None = None, offset: int = 0, now_ms: int = A.NOW_MS, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, **filters) -> DataFrame:
-    """query_id, position, entry_id, title, score, snippet of the best articles of each query.
-
-    Words, stems and substrings give ranked lists (and vectors, where given), each under the filters; they are fused by
-    reciprocal rank, blended with recency, near-duplicates are dropped, titles diversified, and texts are joined last.
-    """
-    s = (settings or A.Settings()).clamped()
-    limit = min(max(limit or s.top_k, 1), 100)
-    keep = rows.filter(A.article_filter(now_ms=now_ms, **filters)).select("id") if filters else None
-    chunks = rows.select(F.col("id").alias("chunk_id"), F.concat_ws("\n\n", "title", "summary", "content").alias("text"))
+def ranked_lists(spark: SparkSession, index: Index, queries: DataFrame, s: A.Settings, keep: DataFrame | None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Words, stems and substrings of one index, and vectors where there are any; `keep` (id of chunks) holds for all."""
     lists = {
-        "words": S.bm25_words(chunks, queries, s.fts_list, keep),
-        "stems": S.bm25_words(chunks, queries, s.fts_list, keep, stems=True),
-        "substrings": S.bm25_substrings(chunks, queries, s.fts_list, keep),
+        "words": S.indexed_words(index, queries, s.fts_list, keep),
+        "stems": S.indexed_words(index, queries, s.fts_list, keep, stems=True),
+        "substrings": S.indexed_substrings(index, queries, s.fts_list, keep),
     }
     if vectors is not None and query_vectors is not None:
         lists["vectors"] = S.vector_topk(spark, vectors, query_vectors, s.vector_list, keep)
-    found = S.fuse(lists, s.rrf_k).withColumnRenamed("chunk_id", "id")
-    pool = S.blend(found.join(rows.select("id", "title", "pub_date", "summary", "content"), "id"), s.recency_blend, now_ms, s.recency_days)
-    body = F.concat_ws(" ", "summary", "content")
-    picked = S.diversify(pool.select("query_id", F.col("id").alias("entry_id"), "title", "combined", parsers.simhash_udf(body).alias("simhash")), limit, offset, s.mmr_lambda, s.simhash_bits)
-    out = picked.join(rows.select(F.col("id").alias("entry_id"), "title", "content"), "entry_id").join(queries, "query_id")
-    return out.select("query_id", "position", "entry_id", "title", F.round("combined", 6).alias("score"), T.snippet(F.col("content"), T.query_terms(F.col("query")), s.snippet_size).alias("snippet"))
+    return lists
+
+
+def fallback(rows: DataFrame, queries: DataFrame, limit: int, offset: int) -> DataFrame:
+    """query_id, entry_id, position of articles that hold the whole query in title, summary or content, newest first."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    texts = rows.select(F.col("id").alias("chunk_id"), F.explode(F.array(low("title"), low("summary"), low("content"))).alias("text"))
+    found = M.passages_in(texts, queries.select("query_id", F.lower("query").alias("query"))).distinct().join(rows.select(F.col("id").alias("chunk_id"), "pub_date"), "chunk_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pub_date"), "chunk_id"))
+    return found.withColumn("position", place).filter((F.col("position") > offset) & (F.col("position") <= offset + limit)).select("query_id", F.col("chunk_id").alias("entry_id"), "position")
+
+
+def hybrid(
+    spark: SparkSession,
+    rows: DataFrame,
+    queries: DataFrame,
+    settings: A.Settings | None = None,
+    limit: int | None = None,
+    offset: int = 0,
+    now_ms: int = A.NOW_MS,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+    index: Index | None = None,
+    sort: str = "relevance",
+    rerank: Callable[[str, str], float] | None = None,
+    rerank_docs: int = 20,
+    **filters,
+) -> DataFrame:
+    """query_id, position, entry_id, title, link, feed_url, collection, tags, published, score, snippet, context.
+
+    Articles are cut into chunks and indexed once (or the index is given); words, stems and substrings, and vectors of
+    chunks (chunk_id, embedding) where given, rank chunks under the filters. Ranks are fused, an article counts by its
+    best chunk, blended with recency. sort="date" orders by date and stops there; else near copies of better articles
+    are dropped, a reranker orders the first page's shortlist where there is one, and titles are diversified. A query
+    that finds nothing falls back to articles that hold it as it is, without a score. context is the best chunk with its
+    neighbours (the article's start in a fallback).
+    """
+    s = (settings or A.Settings()).clamped()
+    limit, offset = min(max(limit or s.top_k, 1), 100), max(offset, 0)
+    own = rows.filter(A.article_filter(now_ms=now_ms, **filters)) if filters else rows
+    index = index or Index.build(spark, chunk_rows(rows, s.chunk_size, s.chunk_overlap))
+    places = index.chunks.select("chunk_id", "entry_id", "chunk_index")
+    keep = places.join(own.select(F.col("id").alias("entry_id")), "entry_id", "left_semi").select(F.col("chunk_id").alias("id")) if filters else None
+    fused = S.fuse(ranked_lists(spark, index, queries, s, keep, vectors, query_vectors), s.rrf_k)
+    # Shortlists are a few hundred rows a query; written, they are ranked once for all that follows.
+    out = Tables(spark, "hybrid")
+    best = out.write(S.best_chunk(fused, places).select("query_id", "entry_id", "chunk_id", "score"), "best")
+    meta = own.select(F.col("id").alias("entry_id"), "title", "pub_date", "summary", "content")
+    pool = S.blend(best.join(meta, "entry_id"), s.recency_blend, now_ms, s.recency_days)
+    if sort == "date":
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pub_date"), F.desc("combined"), "entry_id"))
+        picked = pool.withColumn("position", place).filter((F.col("position") > offset) & (F.col("position") <= offset + limit)).select("query_id", "entry_id", "combined", "position")
+    else:
+        slim = pool.select("query_id", "entry_id", "title", "combined", parsers.simhash_udf(F.concat_ws(" ", "summary", "content")).alias("simhash"))
+        first = rerank is not None and not offset
+        picked = S.diversify(slim, max(rerank_docs, limit) if first else limit, offset, s.mmr_lambda, s.simhash_bits)
+        if first:
+            short = picked.join(meta.drop("pub_date"), "entry_id").join(queries.select("query_id", "query"), "query_id")
+            picked = S.rerank_shortlist(short, rerank, max(rerank_docs, limit)).filter(F.col("reranked") <= limit).select("query_id", "entry_id", "combined", F.col("reranked").alias("position"))
+    lost = queries.join(best.select("query_id").distinct(), "query_id", "left_anti")
+    last = fallback(own, lost, limit, offset).select("query_id", "entry_id", F.lit(None).cast("double").alias("combined"), "position")
+    hits = out.write(picked.unionByName(last).join(best.select("query_id", "entry_id", "chunk_id"), ["query_id", "entry_id"], "left"), "hits")
+    at = hits.select("query_id", "entry_id", F.coalesce("chunk_id", F.col("entry_id") * 0).alias("chunk_id")).join(places, ["entry_id", "chunk_id"], "left").select("query_id", "entry_id", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"))
+    near = S.neighbours(index.chunks, at.select("entry_id", "chunk_index"), s.context_chunks)
+    context = at.join(near, ["entry_id", "chunk_index"], "left").select("query_id", "entry_id", "context")
+    shown = own.select(F.col("id").alias("entry_id"), "title", "link", "feed_url", "collection", F.array_join("tags", ",").alias("tags"), T.iso_date(F.col("pub_date")).alias("published"), "content")
+    found = hits.join(shown, "entry_id").join(queries.select("query_id", "query"), "query_id").join(context, ["query_id", "entry_id"], "left")
+    return found.select("query_id", "position", "entry_id", "title", "link", "feed_url", "collection", "tags", "published", F.round("combined", 3).alias("score"), T.snippet(F.col("content"), T.query_terms(F.col("query")), s.snippet_size).alias("snippet"), "context")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepress.functions import bans
 from tidepress.functions import text as T
 from tidepress.operators import archive as A
+from tidepress.operators import embedding as E
 from tidepress.operators import metrics as M
 from tidepress.operators import search as S
 from tidepress.plans.hybrid import hybrid
@@ -223,21 +224,52 @@ def retry_decision(spark, d):
     return rows(spark, RETRY, "id int, status int, attempt int, retry_after string").select("id", bans.retry_wait_ms(F.col("status"), F.col("attempt"), ms).cast("long").alias("wait_ms"))
 
 
-ANSWERS = [(i, s, b, h) for i, (s, b, h) in enumerate([(200, "Hello", ""), (403, "", "cf-ray: 1"), (429, "", ""), (401, "Captcha", ""), (503, "Just a moment...", "server: cloudflare"), (503, "down", ""), (500, "x", ""), (200, "please solve the captcha", ""), (200, "captcha " + "x" * 16000, ""), (200, "Checking your browser", "")])]
-_OR = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words)
-INTER = f"(({_OR(bans.STRONG)}) OR (length(low) <= 15000 AND ({_OR(bans.WEAK)})))"
-VENDOR = "CASE " + " ".join(f"WHEN regexp_matches(seen, '{p}') THEN '{v}'" for v, p in bans.VENDORS.items()) + " END"
+ANSWERS = [
+    (i, s, b, h)
+    for i, (s, b, h) in enumerate(
+        [(200, "Hello", ""), (403, "", "cf-ray: 1"), (429, "", ""), (401, "recaptcha", ""), (407, None, None), (500, "<html>oops</html>", ""), (502, None, ""), (503, "<title>Just a moment...</title>", "server: cloudflare"), (503, "Service Unavailable", "server: nginx"),
+         (503, "down", "date: x\nServer: AkamaiGHost"), (200, "please complete the reCAPTCHA", ""), (200, "the captcha debate", ""), (200, "recaptcha " + "x" * 16000, ""), (200, "Pardon Our Interruption", ""), (404, "Error 1020", ""), (403, "Reference #18.2f3a4b5c", ""),
+         (200, "Attention Required! | Cloudflare", ""), (403, "x", "X-Sucuri-ID: 7"), (429, "", "x-datadome-cid: 1"), (200, "unusual traffic from your computer network", ""), (200, "DDoS protection by X", ""), (403, "px-captcha", ""), (403, "", "x-note: cf-ray: 1")]
+    )
+]
+#: Written out from the rules, not from the lists the columns are built of.
+SURE_SQL = r"""CASE WHEN regexp_matches({t}, '(?i)just a moment') THEN 'challenge cloudflare' WHEN regexp_matches({t}, '(?i)checking your browser before accessing|checking if the site connection is secure') THEN 'challenge cloudflare'
+ WHEN regexp_matches({t}, '(?i)enable javascript and cookies to continue') THEN 'challenge cloudflare' WHEN regexp_matches({t}, '(?i)attention required!?\s*[|–-]?\s*cloudflare') THEN 'blocked cloudflare'
+ WHEN regexp_matches({t}, '(?i)cf-chl-|__cf_chl|cf_chl_opt|cf-mitigated') THEN 'challenge cloudflare' WHEN regexp_matches({t}, '(?i)error\s*1020|access denied.*cloudflare') THEN 'blocked cloudflare'
+ WHEN regexp_matches({t}, '(?i)request unsuccessful\.?\s*incapsula') THEN 'blocked imperva' WHEN regexp_matches({t}, '(?i)_incap_ses|incapsula incident id|incident id:\s*\d') THEN 'blocked imperva' WHEN regexp_matches({t}, '(?i)pardon our interruption') THEN 'blocked imperva'
+ WHEN regexp_matches({t}, '(?i)reference\s*#\s*\d+\.[0-9a-f]{{6,}}') THEN 'blocked akamai' WHEN regexp_matches({t}, '(?i)akamai bot manager|_abck\b') THEN 'challenge akamai'
+ WHEN regexp_matches({t}, '(?i)access denied - sucuri|sucuri website firewall|cloudproxy') THEN 'blocked sucuri' WHEN regexp_matches({t}, '(?i)datadome') THEN 'challenge datadome' WHEN regexp_matches({t}, '(?i)px-captcha|perimeterx') THEN 'challenge perimeterx'
+ WHEN regexp_matches({t}, '(?i)distil_r_captcha|distil captcha') THEN 'challenge distil' ELSE {other} END"""
+HINT_SQL = """CASE WHEN length({t}) > 15000 THEN NULL WHEN regexp_matches({t}, '(?i)g-recaptcha|hcaptcha|recaptcha') THEN 'challenge captcha' WHEN regexp_matches({t}, '(?i)are you a robot|verify you are human|are you a human') THEN 'challenge captcha'
+ WHEN regexp_matches({t}, '(?i)unusual traffic from your computer network|automated queries') THEN 'blocked captcha' WHEN regexp_matches({t}, '(?i)ddos protection by|protected by cloudflare') THEN 'challenge cloudflare' END"""
+HEADER_SQL = r"""CASE WHEN regexp_matches(seen, '(?im)^server:\s*cloudflare\b|^cf-ray:|^cf-mitigated:') THEN 'x cloudflare' WHEN regexp_matches(seen, '(?im)^server:\s*akamaighost\b|^x-akamai-') THEN 'x akamai' WHEN regexp_matches(seen, '(?im)^x-sucuri-(id|block|cache):') THEN 'x sucuri'
+ WHEN regexp_matches(seen, '(?im)^x-datadome') THEN 'x datadome' WHEN regexp_matches(seen, '(?im)^x-iinfo:|^x-cdn:\s*incapsula|^server:.*incapsula') THEN 'x imperva' WHEN regexp_matches(seen, '(?im)^server:\s*zonealarm|^server:\s*wts/waf') THEN 'x waf' END"""
+PAGE_SQL = SURE_SQL.format(t="body", other=HINT_SQL.format(t="body"))
+BAN_SQL = f"""a AS (SELECT id, status, coalesce(body, '') AS body, coalesce(headers, '') || chr(10) || substr(coalesce(body, ''), 1, 8000) AS seen FROM {values(ANSWERS, 'id, status, body, headers')}),
+ b AS (SELECT *, {PAGE_SQL} AS page, {SURE_SQL.format(t='seen', other=HEADER_SQL)} AS mark FROM a), c AS (SELECT *, split_part(mark, ' ', 2) AS v FROM b),
+ bans AS (SELECT id, status, CASE WHEN status IN (401, 407) THEN NULL WHEN status = 429 THEN 'rate-limited' WHEN status = 403 THEN 'blocked' WHEN status = 503 THEN coalesce(split_part(page, ' ', 1), CASE WHEN v IS NOT NULL THEN 'challenge' END) WHEN status >= 500 THEN NULL ELSE split_part(page, ' ', 1) END AS kind,
+  CASE WHEN status IN (401, 407) THEN NULL WHEN status IN (403, 429) THEN v WHEN status = 503 THEN coalesce(split_part(page, ' ', 2), v) WHEN status >= 500 THEN NULL ELSE split_part(page, ' ', 2) END AS vendor FROM c)"""
+
+
+def _answers(spark) -> DataFrame:
+    a = rows(spark, ANSWERS, "id int, status int, body string, headers string")
+    return a.withColumn("ban", bans.ban(F.col("status"), F.col("body"), F.col("headers")))
 
 
-@query(f"SELECT id, CASE WHEN status IN (401, 407) THEN NULL WHEN status = 429 THEN 'rate-limited' WHEN status = 403 THEN 'blocked' WHEN status = 503 AND (i OR v IS NOT NULL) THEN 'interstitial' WHEN status >= 500 THEN NULL WHEN i THEN 'interstitial' END AS kind, v AS vendor FROM (SELECT *, {INTER} AS i, {VENDOR} AS v FROM (SELECT *, lower(coalesce(body, '')) AS low, lower(substr(coalesce(body, ''), 1, 8000) || ' ' || headers) AS seen FROM {values(ANSWERS, 'id, status, body, headers')}))")
+@query(f"WITH {BAN_SQL} SELECT id, kind, vendor FROM bans")
 def ban_classify(spark, d):
-    a = rows(spark, ANSWERS, "id int, status int, body string, headers string")
-    return a.select("id", bans.ban_kind(F.col("status"), F.col("body"), F.col("headers")).alias("kind"), bans.vendor(F.col("body"), F.col("headers")).alias("vendor"))
+    return _answers(spark).select("id", "ban.kind", "ban.vendor")
+
+
+@query(f"""WITH {BAN_SQL} SELECT id, CASE WHEN kind IS NULL THEN '' ELSE CASE status WHEN 429 THEN CASE WHEN vendor IS NULL THEN 'rate limited' ELSE 'rate limited by ' || vendor END || ' (HTTP 429)' WHEN 403 THEN CASE WHEN vendor IS NULL THEN 'request blocked' ELSE 'blocked by ' || vendor END || ' (HTTP 403)' ELSE vendor || ' ' || kind END
+ || CASE WHEN vendor IS NULL THEN '' ELSE ' [' || vendor || ']' END || ' HTTP ' || status END AS said FROM bans""")
+def ban_describe(spark, d):
+    return _answers(spark).select("id", bans.describe(F.col("ban"), F.col("status")).alias("said"))
 
 
-@query(f"SELECT page_id, {INTER} AS challenge FROM (SELECT page_id, lower(coalesce(html, '')) AS low FROM pages)")
+@query(f"SELECT page_id, split_part(page, ' ', 1) AS kind, split_part(page, ' ', 2) AS vendor FROM (SELECT page_id, {PAGE_SQL} AS page FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))")
 def interstitial_scan(spark, d):
-    return A.table(spark, d, "pages").select("page_id", bans.interstitial(F.col("html")).alias("challenge"))
+    return A.table(spark, d, "pages").select("page_id", bans.interstitial(F.col("html")).alias("p")).select("page_id", "p.kind", "p.vendor")
 
 
 ROBOTS = [("h.example", "User-agent: *\nDisallow: /p\nAllow: /page/1\nDisallow: /*.pdf$\n\nUser-agent: tide\nUser-agent: other\nDisallow: /page/2")]
@@ -299,10 +331,7 @@ def doc_chunks(spark, d) -> DataFrame:
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'no-chunks' WHEN doc_id % 7 = 0 THEN 'no-vector' ELSE 'stale-style' END AS gap FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0")
 def reindex_gaps(spark, d):
-    c = doc_chunks(spark, d)
-    gap = F.when(F.col("embedding").isNull(), "no-vector").when(F.coalesce("embed_style", F.lit("")) != "contextual-v2", "stale-style")
-    bare = A.table(spark, d, "documents").select(F.col("doc_id").alias("id")).join(c.select(F.col("entry_id").alias("id")), "id", "left_anti").select("id", F.lit("no-chunks").alias("gap"))
-    return c.select(F.col("entry_id").alias("id"), gap.alias("gap")).filter("gap is not null").union(bare)
+    return E.gaps(A.table(spark, d, "documents").select(F.col("doc_id").alias("id")), doc_chunks(spark, d))
 
 
 @query()
@@ -443,8 +472,8 @@ def bm25_filtered(spark, d):
     return S.bm25_words(chunk_texts(spark, d), bench_queries(spark, d), keep=A.entries(spark, d).filter("id % 2 = 0"))
 
 
-VECTORS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS sim FROM v a, v b WHERE a.vec_id % 100 = 0 AND {keep})
- SELECT query_id, chunk_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM p WHERE sim > 0 QUALIFY rank <= 20"""
+VECTORS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 9) AS sim FROM v a, v b WHERE a.vec_id % 100 = 0 AND {keep})
+ SELECT query_id, chunk_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY p.sim DESC, chunk_id) AS rank FROM p WHERE p.sim > 0 QUALIFY rank <= 20"""
 
 
 def vectors(spark, d) -> DataFrame:
@@ -530,11 +559,10 @@ def rerank_shortlist(spark, d):
     return S.rerank_shortlist(ranked, lambda q, t: -abs(len(q or "") - len(t or ""))).select("query_id", "entry_id", "position", "reranked")
 
 
-@query(rf"WITH {ENTRIES}, t AS (SELECT id, author, list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]{{3,}}')) AS w FROM entries WHERE id < 200) SELECT a.id, b.id AS other, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) END, 6) AS likeness FROM t a JOIN t b ON a.author = b.author AND a.id < b.id")
+@query(rf"WITH {ENTRIES}, t AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]{{3,}}'))) AS w FROM entries), c AS (SELECT w, min(id) AS head FROM t WHERE len(w) > 0 GROUP BY w), p AS (SELECT a.head AS id, b.head AS other, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS likeness FROM c a JOIN c b ON a.head < b.head) SELECT id, other, round(likeness, 6) AS likeness FROM p WHERE p.likeness >= 0.6 - 1e-9 UNION ALL SELECT head, t.id, 1.0 FROM t JOIN c USING (w) WHERE t.id <> head")
 def title_jaccard_pairs(spark, d):
-    t = A.entries(spark, d).filter("id < 200").select("id", "author", T.title_tokens(F.col("title")).alias("w"))
-    o = t.select(F.col("id").alias("other"), "author", F.col("w").alias("v"))
-    return t.join(o, "author").filter("id < other").select("id", "other", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("likeness"))
+    t = A.entries(spark, d).select("id", T.title_tokens(F.col("title")).alias("words"))
+    return M.likeness_pairs(t).withColumn("likeness", F.round("likeness", 6))
 
 
 @query("""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\\s ]+', ' ', 'g')) AS flat FROM documents), g AS (SELECT *, greatest(1, coalesce(nullif(instr(lower(flat), 'tion'), 0), 1) - 200) AS st FROM f)
@@ -564,26 +592,29 @@ def near_dup_pairs(spark, d):
 
 @query()
 def near_dup_collapse(spark, d):
-    r = A.entries(spark, d).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("entry_id"), "title", S.recency(F.col("pub_date")).alias("combined"), "content").filter("combined > 0.9")
-    return S.diversify(r.withColumn("simhash", parsers.simhash_udf("content")), 320).select("query_id", "entry_id", "position")
+    """Every row of each query's shortlist that isn't a near copy of a better one, best first."""
+    return S.diversify(_pool(spark, d), 2 * A.Settings().fts_list, lam=1.0).select("query_id", "entry_id", "position")
 
 
 SIGNS = "s AS (SELECT vec_id, label, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS lo, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT AS hi FROM embeddings)"
 
 
-@query(f"WITH {SIGNS} SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS bits FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 24")
-def hamming_pairs(spark, d):
+PAIRED = "WITH " + SIGNS + " SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS bits FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= {most}"
+
+
+def _sign_pairs(spark, d, most: int) -> DataFrame:
     half = lambda a: F.aggregate(F.transform(F.slice("embedding", a, 32), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    s = A.table(spark, d, "embeddings").select("vec_id", "label", half(1).alias("lo"), half(33).alias("hi"))
-    o = s.select(F.col("vec_id").alias("other"), "label", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    bits = (F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))).alias("bits")
-    return s.join(o, "label").filter("vec_id < other").select("vec_id", "other", bits).filter("bits <= 24")
+    return M.hamming_pairs(A.table(spark, d, "embeddings").select("vec_id", half(1).alias("lo"), half(33).alias("hi")), most)
 
 
-@query(f"WITH {SIGNS} SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS bits FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 24")
+@query(PAIRED.format(most=20))
+def hamming_pairs(spark, d):
+    return _sign_pairs(spark, d, 20)
+
+
+@query(PAIRED.format(most=24))
 def hamming_pairs_all(spark, d):
-    half = lambda a: F.aggregate(F.transform(F.slice("embedding", a, 32), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return M.hamming_pairs(A.table(spark, d, "embeddings").select("vec_id", half(1).alias("lo"), half(33).alias("hi")), 24)
+    return _sign_pairs(spark, d, 24)
 
 
 # Upkeep and reports
@@ -620,9 +651,16 @@ def feed_backoff(spark, d):
     return state.backoff(fetch_log(spark, d))
 
 
-@query(_backoff_sql(1_800_000, 43_200_000))
+HOSTS = """h AS (SELECT 'h' || user_id % 40 || '.example' AS host, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 3 = 0 THEN 'rate-limited' WHEN event_id % 3 = 1 THEN 'blocked' ELSE 'challenge' END AS kind, event_type = 'error' AND event_id % 3 > 0 AS terminal FROM events)"""
+
+
+@query(f"""WITH {HOSTS}, r AS (SELECT * FROM h WHERE terminal OR kind IS NULL), w AS (SELECT *, count(*) FILTER (kind IS NULL) OVER (PARTITION BY host ORDER BY at_ms, seq) AS wins FROM r), l AS (SELECT host, max(wins) AS top FROM w GROUP BY host), f AS (SELECT w.host, count(*) AS ban_count, arg_max(kind, (at_ms, seq)) AS ban_kind, max(at_ms) AS last_ban_at FROM w JOIN l ON l.host = w.host AND l.top = w.wins WHERE kind IS NOT NULL GROUP BY w.host)
+ SELECT host, ban_kind, ban_count, last_ban_at, last_ban_at + CAST(least(43200000, 1800000 * pow(2, ban_count - 1)) AS BIGINT) AS next_retry_at FROM f""")
 def host_ban_backoff(spark, d):
-    return state.backoff(fetch_log(spark, d), state.HOST_FIRST, state.HOST_MOST)
+    """The events as answers of 40 hosts: errors are bans of three kinds, of which rate limits aren't terminal."""
+    kind = F.when(F.col("event_type") == "error", F.element_at(F.array(F.lit("rate-limited"), F.lit("blocked"), F.lit("challenge")), (F.col("event_id") % 3 + 1).cast("int")))
+    e = A.table(spark, d, "events").select(F.concat(F.lit("h"), F.col("user_id") % 40, F.lit(".example")).alias("host"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    return state.host_bans(e.withColumn("terminal", F.coalesce(F.col("kind") != "rate-limited", F.lit(False))))
 
 
 @query(f"WITH {EVENTS}, l AS (SELECT key, arg_max(ok, (at_ms, seq)) AS ok, max(at_ms) AS seen FROM ev GROUP BY key) SELECT count(*) AS feeds, round(avg(ok::INT), 6) AS success, round((1767225600000 - max(seen)) / 3600000.0, 6) AS freshness_hours, (SELECT round(count(*) FILTER (NOT ok) / nullif(count(*), 0), 6) FROM ev) AS error_rate FROM l")
@@ -686,13 +724,11 @@ QRELS = "qr AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documen
 
 
 @query(f"""WITH {QRELS}, {DOCS}, {BM25_WORDS}, hit AS (SELECT bm.query_id, rank FROM bm JOIN qr ON qr.query_id = bm.query_id AND qr.doc_id = bm.chunk_id WHERE rank <= 10),
- m AS (SELECT rel.query_id, count(rank) FILTER (rank <= 5) / n AS r5, count(rank) / n AS r10, coalesce(1 / min(rank), 0) AS rr, coalesce(sum(1 / log2(rank + 1)), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(10, any_value(n)) + 1) t(i)) AS ndcg FROM rel LEFT JOIN hit ON hit.query_id = rel.query_id GROUP BY rel.query_id, n)
- SELECT count(*) AS queries, round(avg(r5), 6) AS recall_5, round(avg(r10), 6) AS recall_10, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_10 FROM m""")
+ m AS (SELECT rel.query_id, count(rank) FILTER (rank <= 1) / n AS r1, count(rank) FILTER (rank <= 3) / n AS r3, count(rank) FILTER (rank <= 5) / n AS r5, count(rank) / n AS r10, coalesce(1 / min(rank), 0) AS rr, coalesce(sum(1 / log2(rank + 1)), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(10, any_value(n)) + 1) t(i)) AS ndcg FROM rel LEFT JOIN hit ON hit.query_id = rel.query_id GROUP BY rel.query_id, n)
+ SELECT count(*) AS queries, round(avg(r1), 6) AS recall_1, round(avg(r3), 6) AS recall_3, round(avg(r5), 6) AS recall_5, round(avg(r10), 6) AS recall_10, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_10 FROM m""")
 def eval_metrics(spark, d):
     q = bench_queries(spark, d)
-    docs = A.table(spark, d, "documents")
-    qrels = docs.join(S.small(q), F.col("text").contains(F.col("query"))).select("query_id", F.col("doc_id").alias("chunk_id"))
-    return M.retrieval_metrics(S.bm25_words(chunk_texts(spark, d), q), qrels)
+    return M.retrieval_metrics(S.bm25_words(chunk_texts(spark, d), q), M.passages_in(chunk_texts(spark, d), q))
 
 
 GATE = [("recall_5", 0.79, 0.80), ("recall_10", 0.92, 0.86), ("mrr", 0.78, 0.73), ("ndcg_10", 0.82, 0.7699)]
@@ -724,10 +760,7 @@ def state_upsert(spark, d):
     return log.groupBy("key").agg(F.max_by(F.struct("at_ms", "ok"), "stamp").alias("x")).select("key", "x.*")
 
 
-@query(f"WITH {ENTRIES} SELECT substr(sha256(string_agg(id || '|' || coalesce(title, ''), chr(10) ORDER BY id)), 1, 8) AS fingerprint FROM entries WHERE id < 100")
+@query(f"""WITH {ENTRIES}, p AS (SELECT CAST('0x' || substr(sha256(id || '|' || coalesce(title, '')), 1, 15) AS BIGINT) AS x FROM entries)
+ SELECT substr(sha256(count(*) || '|' || sum(x::HUGEINT) || '|' || bit_xor(x)), 1, 8) AS fingerprint FROM p""")
 def index_fingerprint(spark, d):
-    line = F.concat(F.col("id").cast("string"), F.lit("|"), F.coalesce("title", F.lit("")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"])
-    return A.entries(spark, d).filter("id < 100").agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 8).alias("fingerprint"))
-
-
+    return M.fingerprint(A.entries(spark, d).select(F.concat(F.col("id").cast("string"), F.lit("|"), F.coalesce("title", F.lit(""))).alias("line")))

@@ -124,52 +124,72 @@ def feed_items(df: DataFrame, now_ms: int) -> DataFrame:
 
 
 class _Links(HTMLParser):
+    """Every link with its text, whether a heading is around or inside it, whether it is its heading's first, and whether
+    an article is around it."""
+
+    HEADS = ("h1", "h2", "h3", "h4")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, bool, bool]] = []
+        self.found: list[dict] = []
         self.open: list[str] = []
-        self.at: tuple[str, list[str], bool, bool] | None = None
+        self.used = False
+        self.at: dict | None = None
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("h1", "h2", "h3", "h4", "article"):
+        if tag in self.HEADS or tag == "article":
             self.open.append(tag)
+            self.used = self.used and tag == "article"
+            if self.at and tag != "article":
+                self.at["inner"] = True
         if tag == "a" and dict(attrs).get("href"):
-            self.at = (dict(attrs)["href"], [], any(t[0] == "h" for t in self.open), "article" in self.open)
+            self.close()
+            head = any(t in self.HEADS for t in self.open)
+            self.at = {"href": dict(attrs)["href"], "words": [], "lead": head and not self.used, "inner": False, "article": "article" in self.open}
+            self.used = self.used or head
+
+    def close(self):
+        if self.at:
+            self.found.append({**self.at, "title": re.sub(r"\s+", " ", "".join(self.at.pop("words"))).strip()})
+            self.at = None
 
     def handle_endtag(self, tag):
         if tag in self.open:
-            self.open.reverse()
-            self.open.remove(tag)
-            self.open.reverse()
-        if tag == "a" and self.at:
-            href, words, head, article = self.at
-            self.found.append((href, re.sub(r"\s+", " ", " ".join(words)).strip(), head, article))
-            self.at = None
+            self.open = self.open[: len(self.open) - 1 - self.open[::-1].index(tag)]
+        if tag == "a":
+            self.close()
 
     def handle_data(self, data):
         if self.at:
-            self.at[1].append(data)
+            self.at["words"].append(data)
 
 
-SOCIAL = ("facebook.com", "twitter.com", "x.com", "instagram.com", "linkedin.com", "youtube.com")
-_BOILER = re.compile(r"^(home|about|contact|login|log in|sign|subscribe|privacy|terms|cookie|read more|more|next|previous|menu|search)\b", re.I)
+SOCIAL = ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com")
+PATTERNS = ("article", "blog", "news", "post", "press", "releases", "stories", "story")
+_BOILER = re.compile(r"\b(advertisement|cookie|follow us|log ?in|newsletter|page \d+|pagination|privacy policy|read more|sign up|subscribe|terms of service)\b", re.I)
 
 
 def page_links(page: str, base: str, patterns: tuple[str, ...] = (), most: int = 30) -> list[dict]:
-    """Article links of a page: those of headings first, then long anchors; distinct, most at most."""
+    """Article links of a page: the first of each heading, then anchors of 25 characters (15 inside an article) without a
+    heading in them. Distinct, `most` at most; a part of the URL must hold one of the patterns; no social sites,
+    boilerplate titles or URLs that end in a slash."""
     p = _Links()
     p.feed(page or "")
-    ordered = [x for x in p.found if x[2]] + [x for x in p.found if not x[2] and len(x[1]) >= (15 if x[3] else 25)]
+    p.close()
+    ordered = [x for x in p.found if x["lead"]] + [x for x in p.found if not x["inner"] and len(x["title"]) >= (15 if x["article"] else 25)]
+    wanted = [w.lower() for w in patterns or PATTERNS]
     out: dict[str, dict] = {}
-    for href, title, _, _ in ordered:
-        link = urljoin(base, href)
-        parts = urlsplit(link)
-        segments = [s for s in parts.path.lower().split("/") if s]
-        if parts.scheme not in ("http", "https") or len(title) < 15 or _BOILER.match(title) or not segments or parts.path.endswith("/"):
+    for x in ordered:
+        try:
+            link = urljoin(base, x["href"])
+            scheme = urlsplit(link).scheme
+        except ValueError:
             continue
-        if any(parts.netloc == s or parts.netloc.endswith("." + s) for s in SOCIAL) or (patterns and not any(w in s for w in patterns for s in segments)):
+        low, title = link.lower(), x["title"]
+        if scheme not in ("http", "https") or len(title) < 15 or _BOILER.search(title) or low.endswith("/") or any(s in low for s in SOCIAL):
             continue
-        out.setdefault(link, {"page": base, "link": link, "title": title})
+        if any(w in part for w in wanted for part in low.split("/")):
+            out.setdefault(link, {"page": base, "link": link, "title": title})
     return [{**v, "position": i + 1} for i, v in enumerate(list(out.values())[:most])]
 
 
@@ -326,33 +346,67 @@ def chunks(df: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
     return explode_with(body, ["id", "body"], lambda i, b: ({"entry_id": i, **c} for c in chunk_text(b, size, overlap)), "entry_id long, chunk_index int, text string, heading string")
 
 
-STOP = frozenset("the a an and or but of to in on at for from by with as is are was were be been it its this that these those he she they we you i his her their our not no so if then than into over under about after before".split())
-_FNV, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
+STOP = frozenset(
+    """about after also and are before but can could for from had has have her him his how into its more most new not one
+    only other our out over said says she should some such than that the their them then they this two was were what when
+    where which who why will with would you your""".split()
+)
+_FNV, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+
+
+def fnv1a(texts: list[str]) -> np.ndarray:
+    """Unsigned 64-bit hashes over UTF-16 code units; all texts advance together, unit by unit."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    size = np.array([len(r) // 2 for r in raw], np.int64)
+    units = np.frombuffer(b"".join(raw), "<u2").astype(np.uint64)
+    order = np.argsort(-size, kind="stable")
+    start, length = (np.cumsum(size) - size)[order], size[order]
+    h = np.full(len(texts), _FNV, np.uint64)
+    for k in range(int(length[0]) if len(length) else 0):
+        alive = int(np.searchsorted(-length, -k, "left"))
+        h[:alive] = (h[:alive] ^ units[start[:alive] + k]) * _PRIME
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
-def fnv1a(text: str) -> int:
-    """Over UTF-16 code units."""
-    h = _FNV
-    raw = text.encode("utf-16-le", "surrogatepass")
-    for i in range(0, len(raw), 2):
-        h = ((h ^ (raw[i] | raw[i + 1] << 8)) * _PRIME) & _MASK
-    return h
+def body_simhashes(bodies: list[str | None]) -> list[int | None]:
+    """Signed 64-bit SimHash of each text's word trigrams weighted 1 + ln(count); pairs and single words where texts are
+    short; None without words."""
+    counts = []
+    for body in bodies:
+        words = [w for w in re.findall(r"[^\W_]{2,}", (body or "").lower()) if w not in STOP]
+        grams = [f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:], strict=False)]
+        if len(grams) < 2 and len(words) >= 2:
+            grams += [" ".join(words[i : i + 2]) for i in range(len(words) - 1)]
+        counts.append(Counter(grams or words))
+    each = list(dict.fromkeys(g for c in counts for g in c))
+    bits = dict(zip(each, fnv1a(each), strict=True))
+    out: list[int | None] = []
+    for c in counts:
+        if not c:
+            out.append(None)
+            continue
+        h = np.array([bits[g] for g in c], np.uint64)
+        weight = np.array([1 + math.log(n) for n in c.values()])
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
+        out.append(int(np.packbits((2 * ones - 1).T @ weight > 0, bitorder="little").view("<i8")[0]))
+    return out
 
 
 def body_simhash(body: str | None) -> int | None:
-    """Signed 64-bit SimHash of word trigrams weighted 1 + ln(count); pairs and single words where texts are short."""
-    words = [w for w in re.findall(r"[^\W_]{2,}", (body or "").lower()) if w not in STOP]
-    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
-    if len(grams) < 2 and len(words) >= 2:
-        grams += [" ".join(words[i : i + 2]) for i in range(len(words) - 1)]
-    counts = Counter(grams or words)
-    if not counts:
-        return None
-    h = np.array([fnv1a(g) for g in counts], np.uint64)
-    weight = np.array([1 + math.log(c) for c in counts.values()])
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
-    total = (2 * bits - 1).T @ weight
-    return int(np.packbits(total > 0, bitorder="little").view("<i8")[0])
+    return body_simhashes([body])[0]
+
+
+def simhash_udf(column):
+    """The texts' SimHashes, in slices of a batch."""
+
+    def run(s: pd.Series) -> pd.Series:
+        texts = s.tolist()
+        found = [x for i in range(0, len(texts), 256) for x in body_simhashes(texts[i : i + 256])]
+        return pd.Series(found, index=s.index, dtype="Int64")
+
+    return F.pandas_udf(run, "long")(column)
 
 
 def _mapped(function, kind: str):
@@ -367,5 +421,4 @@ def _mapped(function, kind: str):
 
 readable_udf = _mapped(readable, "string")
 decode_udf = _mapped(decode_entities, "string")
-simhash_udf = _mapped(body_simhash, "long")
 pattern_udf = _mapped(robots_pattern, "string")

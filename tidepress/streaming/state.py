@@ -26,6 +26,16 @@ def backoff(log: DataFrame, first_ms: int = FEED_FIRST, most_ms: int = FEED_MOST
     return j.select("key", "fail_count", "last_ms", F.when(F.col("fail_count") > 0, F.col("last_ms") + wait).alias("next_retry_at"))
 
 
+def host_bans(log: DataFrame, first_ms: int = HOST_FIRST, most_ms: int = HOST_MOST) -> DataFrame:
+    """host, ban_kind, ban_count, last_ban_at, next_retry_at of the hosts that are banned after a log of host, at_ms, seq,
+    kind (null: a good answer), terminal. A good answer clears a host; bans that aren't terminal only warn."""
+    rows = log.filter(F.col("kind").isNull() | F.col("terminal")).withColumn("stamp", F.struct("at_ms", "seq"))
+    good = rows.filter("kind is null").groupBy("host").agg(F.max("stamp").alias("cleared"))
+    left = rows.filter("kind is not null").join(good, "host", "left").filter("cleared is null or stamp > cleared")
+    found = left.groupBy("host").agg(F.max_by("kind", "stamp").alias("ban_kind"), F.count("*").alias("ban_count"), F.max("at_ms").alias("last_ban_at"))
+    return found.withColumn("next_retry_at", F.col("last_ban_at") + backoff_ms(F.col("ban_count"), first_ms, most_ms))
+
+
 def backoff_stream(log: DataFrame, first_ms: int = FEED_FIRST, most_ms: int = FEED_MOST) -> DataFrame:
     """The same state kept over a stream of key, at_ms, seq, ok; a row for each key that a micro-batch touches."""
 
