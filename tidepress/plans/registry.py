@@ -12,7 +12,10 @@ from tidepress.functions import text as T
 from tidepress.operators import archive as A
 from tidepress.operators import embedding as E
 from tidepress.operators import metrics as M
+from tidepress.operators import postings as P
+from tidepress.operators import refresh as R
 from tidepress.operators import search as S
+from tidepress.operators import upkeep as U
 from tidepress.plans.hybrid import hybrid
 from tidepress.sources import fetch, parsers
 from tidepress.streaming import jobs, state
@@ -135,6 +138,16 @@ def html_links(spark, d):
     return parsers.explode_with(A.table(spark, d, "pages"), ["html", "url"], parsers.page_links, "page string, link string, title string, position int")
 
 
+LINKS = """<html><body><nav><a href='/news/short'>Short</a></nav><article><h2><a href='/news/rain-floods'>Rain floods the old town</a> <a href='/news/second'>A second link of the heading</a></h2>
+<a href='story/one'>Fifteen letters</a></article><a href='https://o.example/blog/x'>A long enough anchor text of another site</a><a href='/plain/y'>No pattern in the address of this one</a><a href='/news/z/'>Ends in a slash so it is no article</a>
+<a href='https://x.com/news/1'>A social site's link that is long enough</a><a href='/post/q'>Subscribe to our newsletter for more of it</a><a href='/press/p'><h3>Heading inside of an anchor element</h3></a><a href='mailto:news@p.example'>Write to the news desk by mail, please do</a></body></html>"""
+
+
+@query(f"""SELECT 'https://p.example/a/' AS page, link, title, position FROM {values([("https://p.example/news/rain-floods", "Rain floods the old town", 1), ("https://p.example/news/second", "A second link of the heading", 2), ("https://p.example/a/story/one", "Fifteen letters", 3), ("https://o.example/blog/x", "A long enough anchor text of another site", 4)], "link, title, position")}""")
+def html_links_page(spark, d):
+    return parsers.explode_with(rows(spark, [(LINKS, "https://p.example/a/")], "html string, url string"), ["html", "url"], parsers.page_links, "page string, link string, title string, position int")
+
+
 @query()
 def discover_feeds(spark, d):
     page = [("<html><link rel='alternate' type='application/rss+xml' href='/a.xml'><link rel=\"alternate\" type=\"application/atom+xml\" href=\"https://o.example/b\"></html>", "https://p.example/x/")]
@@ -764,3 +777,177 @@ def state_upsert(spark, d):
  SELECT substr(sha256(count(*) || '|' || sum(x::HUGEINT) || '|' || bit_xor(x)), 1, 8) AS fingerprint FROM p""")
 def index_fingerprint(spark, d):
     return M.fingerprint(A.entries(spark, d).select(F.concat(F.col("id").cast("string"), F.lit("|"), F.coalesce("title", F.lit(""))).alias("line")))
+
+
+# A refresh pass over recorded answers
+
+FRESH = """<rss><channel><item><title>Newest of the feed</title><link>https://f.example/1</link><guid>gf1</guid><pubDate>Thu, 01 Jan 2026 00:00:00 GMT</pubDate></item><item><title>Older of the feed</title><link>https://f.example/2</link><guid>gf2</guid><pubDate>Mon, 01 Dec 2025 00:00:00 GMT</pubDate></item></channel></rss>"""
+_HOUR = 3_600_000
+PASS_FEEDS = [(f"https://{x}", 6 if x[0] == "a" else None, None, "c", 1 if x[0] == "f" else None) for x in ("a.example/feed", "b.example/feed", "c.example/feed", "d.example/page", "e.example/news", "f.example/feed", "g.example/feed", "h.example/feed", "i.example/feed", "j.example/feed", "k.example/feed")]
+PASS_STATE = [
+    ("https://a.example/feed", None, None, NOW - _HOUR, 200, 0, None, None), ("https://b.example/feed", '"e1"', "Mon", NOW - 24 * _HOUR, 200, 2, NOW - 5, "x"),
+    ("https://i.example/feed", None, None, NOW - 24 * _HOUR, 500, 3, NOW + 600_000, "HTTP 500"), ("https://j.example/feed", None, None, NOW - 24 * _HOUR, 503, 1, NOW - 1, "HTTP 503"),
+]
+PASS_HOSTS = [("h.example", "blocked", 2, NOW - _HOUR, NOW + _HOUR), ("b.example", "challenge", 1, NOW - 24 * _HOUR, NOW - _HOUR)]
+PASS_ANSWERS = [
+    ("https://a.example/feed", 0, 200, "", RSS, None), ("https://b.example/feed", 0, 304, "Date: x", None, None), ("https://c.example/feed", 0, 200, 'ETag: "c2"\nDate: x', RSS, None), ("https://e.example/news", 0, 200, "", "<html><title>Just a moment...</title>" + "x" * 50, None),
+    ("https://f.example/feed", 0, 429, "", "", "7"), ("https://f.example/feed", 1, 200, "", FRESH, None), ("https://g.example/feed", 0, 403, "", "", None), ("https://g.example/feed", 1, 200, "", RSS, None), *(("https://j.example/feed", i, 503, "Server: nginx", "down", None) for i in range(3)),
+]
+PASS_CACHED = [("g1", "Old title of the story", None, "old text", "old title of the story", "0")]
+
+
+def _pass(spark) -> dict[str, DataFrame]:
+    return R.run(
+        rows(spark, PASS_FEEDS, "url string, refresh_hours int, tags string, collection string, max_items int"), rows(spark, PASS_STATE, "url string, etag string, last_modified string, last_fetched long, last_status int, fail_count long, next_retry_at long, last_error string"),
+        rows(spark, PASS_HOSTS, "host string, ban_kind string, ban_count long, last_ban_at long, next_retry_at long"), rows(spark, [("https://d.example/page", False)], "url string, allowed boolean"), rows(spark, PASS_ANSWERS, "url string, attempt int, status int, headers string, body string, retry_after string"),
+        rows(spark, PASS_CACHED, "guid string, title string, summary string, content string, title_key string, content_hash string"), lambda df: fetch.parse_answers(df, NOW), NOW,
+    )
+
+
+@query("""SELECT 'https://' || u AS url, mode, skip, w::BIGINT AS wait_minutes, e AS if_none_match, m AS if_modified_since FROM (VALUES ('a.example/feed', 'fast', 'not-due', 300, NULL, NULL), ('b.example/feed', 'fast', NULL, NULL, '"e1"', 'Mon'), ('c.example/feed', 'fast', NULL, NULL, NULL, NULL), ('d.example/page', 'slow', 'robots', NULL, NULL, NULL), ('e.example/news', 'slow', NULL, NULL, NULL, NULL),
+ ('f.example/feed', 'fast', NULL, NULL, NULL, NULL), ('g.example/feed', 'fast', NULL, NULL, NULL, NULL), ('h.example/feed', 'fast', 'host-paused', 60, NULL, NULL), ('i.example/feed', 'fast', 'backoff', 10, NULL, NULL), ('j.example/feed', 'fast', NULL, NULL, NULL, NULL), ('k.example/feed', 'fast', NULL, NULL, NULL, NULL)) AS t(u, mode, skip, w, e, m)""")
+def conditional_fetch(spark, d):
+    return _pass(spark)["plan"].select("url", "mode", "skip", "wait_minutes", "if_none_match", "if_modified_since")
+
+
+@query("""SELECT substr(u, 1, 1) AS feed, result, status, error, tries::BIGINT AS tries, waited::BIGINT AS waited_ms, kind AS ban_kind, vendor AS ban_vendor, terminal AS ban_terminal FROM (VALUES ('a', 'skipped', NULL, 'not-due', 0, 0, NULL, NULL, false), ('b', 'not-modified', 304, NULL, 1, 0, NULL, NULL, false), ('c', 'ok', 200, NULL, 1, 0, NULL, NULL, false), ('d', 'skipped', NULL, 'robots', 0, 0, NULL, NULL, false),
+ ('e', 'failed', 200, 'bot wall', 1, 0, 'challenge', 'cloudflare', true), ('f', 'ok', 200, NULL, 2, 7000, 'rate-limited', NULL, false), ('g', 'failed', 403, 'HTTP 403', 1, 0, 'blocked', NULL, true), ('h', 'skipped', NULL, 'host-paused', 0, 0, NULL, NULL, false), ('i', 'skipped', NULL, 'backoff', 0, 0, NULL, NULL, false),
+ ('j', 'failed', 503, 'HTTP 503', 3, 2400, NULL, NULL, false), ('k', 'failed', NULL, 'network', 0, 0, NULL, NULL, false)) AS t(u, result, status, error, tries, waited, kind, vendor, terminal)""")
+def fetch_outcomes(spark, d):
+    return _pass(spark)["outcomes"].select(F.substring("host", 1, 1).alias("feed"), "result", "status", "error", "tries", "waited_ms", "ban_kind", "ban_vendor", "ban_terminal")
+
+
+@query(f"""SELECT 'https://' || u || '.example/' || CASE u WHEN 'e' THEN 'news' ELSE 'feed' END AS url, e AS etag, m AS last_modified, {NOW} - ago AS last_fetched, status AS last_status, fails::BIGINT AS fail_count, {NOW} + wait AS next_retry_at, error AS last_error FROM (VALUES ('a', NULL, NULL, 3600000, 200, 0, NULL, NULL), ('b', '"e1"', 'Mon', 0, 304, 0, NULL, NULL), ('c', '"c2"', NULL, 0, 200, 0, NULL, NULL), ('e', NULL, NULL, 0, 200, 1, 900000, 'bot wall'),
+ ('f', NULL, NULL, 0, 200, 0, NULL, NULL), ('g', NULL, NULL, 0, 403, 1, 900000, 'HTTP 403'), ('i', NULL, NULL, 86400000, 500, 3, 600000, 'HTTP 500'), ('j', NULL, NULL, 0, 503, 2, 1800000, 'HTTP 503'), ('k', NULL, NULL, 0, NULL, 1, 900000, 'network')) AS t(u, e, m, ago, status, fails, wait, error)""")
+def feed_state_after(spark, d):
+    return _pass(spark)["feeds"]
+
+
+@query(f"SELECT host || '.example' AS host, kind AS ban_kind, n::BIGINT AS ban_count, {NOW} - ago AS last_ban_at, {NOW} + wait AS next_retry_at FROM (VALUES ('h', 'blocked', 2, 3600000, 3600000), ('e', 'challenge', 1, 0, 1800000), ('g', 'blocked', 1, 0, 1800000)) AS t(host, kind, n, ago, wait)")
+def host_state_after(spark, d):
+    return _pass(spark)["hosts"]
+
+
+@query("SELECT 2 AS added, 1 AS updated, 1 AS not_modified, 1 AS not_due, 3 AS skipped, 3 AS fast_ok, 3 AS fast_failed, 0 AS slow_ok, 1 AS slow_failed, 3 AS bans, 3 AS paused_hosts")
+def refresh_report(spark, d):
+    return _pass(spark)["report"]
+
+
+@query("""WITH p AS (SELECT url, regexp_extract(lower(url), '://([^/?#]*)', 1) AS host FROM (SELECT DISTINCT url FROM pages)), s AS (SELECT url, host, 1500 * (row_number() OVER (PARTITION BY host ORDER BY url) - 1) AS start_ms FROM p) SELECT host, url, CAST(start_ms AS BIGINT) AS start_ms FROM s""")
+def fetch_schedule(spark, d):
+    p = A.table(spark, d, "pages").select("url").distinct()
+    return R.schedule(p.select("url", T.url_host(F.col("url")).alias("host"), F.lit("slow").alias("mode"), F.lit(None).cast("string").alias("skip")), 1500, 0)
+
+
+@query("""SELECT * FROM (VALUES ('https://a.example/f', 'rss', 2, 'First & best story|Second story', NULL), ('https://p.example/a/', 'html', 4, 'Rain floods the old town|A second link of the heading|Fifteen letters|A long enough anchor text of another site', NULL), ('https://w.example/', 'unknown', 0, NULL, 'challenge')) AS t(url, kind, items, sample, ban)""")
+def feed_probe(spark, d):
+    return fetch.probe(rows(spark, [("https://a.example/f", RSS), ("https://p.example/a/", LINKS), ("https://w.example/", "Just a moment...")], "url string, body string"), NOW)
+
+
+@query(r"""WITH r AS (SELECT page_id // 50 AS query, page_id AS position, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site FROM pages), s AS (SELECT query, site, min(position) AS first FROM r GROUP BY ALL) SELECT query, site, site || '/' AS seed, row_number() OVER (PARTITION BY query ORDER BY first, site) AS position FROM s QUALIFY position <= 8""")
+def feed_candidates(spark, d):
+    p = A.table(spark, d, "pages").select(F.floor(F.col("page_id") / 50).alias("query"), F.col("page_id").alias("position"), "url")
+    return fetch.feed_candidates(p)
+
+
+@query()
+def web_backfill_articles(spark, d):
+    p = A.table(spark, d, "pages").select("url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.lit(200).alias("status"), F.col("html").alias("body"))
+    return fetch.backfilled(p, NOW).select("guid", "feed_url", "title", F.length("content").alias("n_chars"), "source_type")
+
+
+CHANGES = [(True, "https://n.example/f/"), (True, "ftp://bad.example/f"), (True, "https://a.example/f"), (False, "https://b.example/f/"), (False, "https://a.example")]
+
+
+@query(f"""WITH l AS (SELECT regexp_replace(trim(line), '/+$', '') AS url FROM {values(LINES, 'line')} WHERE trim(line) <> '' AND trim(line) NOT LIKE '#%'), c AS (SELECT add_it, regexp_replace(trim(url), '/+$', '') AS url FROM {values(CHANGES, 'add_it, url')})
+ SELECT DISTINCT url FROM (SELECT url FROM l UNION ALL SELECT url FROM c WHERE add_it AND regexp_matches(lower(url), '^https?://[^/]')) WHERE url NOT IN (SELECT url FROM c WHERE NOT add_it)""")
+def feed_edits(spark, d):
+    return U.edits(rows(spark, LINES, "line string"), rows(spark, CHANGES, "add boolean, url string"))
+
+
+# Diagnostics, embedding, index upkeep
+
+
+@query("SELECT round(count(*) FILTER (value IS NULL) / nullif(count(*), 0), 3) AS empty_rate, NULL::DOUBLE AS degraded_rate, round(count(*) FILTER (event_type = 'error') / nullif(count(*), 0), 3) AS error_rate FROM events")
+def search_rates(spark, d):
+    one = lambda x: F.when(x, 1).otherwise(0)
+    e = A.table(spark, d, "events")
+    return U.search_rates(e.select(F.lit(1).alias("searches"), one(F.col("value").isNull()).alias("empty"), F.lit(0).alias("degraded_of"), F.lit(0).alias("degraded"), F.lit(1).alias("fetches"), one(F.col("event_type") == "error").alias("errors")))
+
+
+RUNS = [(i, f"w{i}", "q", None if i == 3 else NOW - (i * 7 % 5) * 1000, i) for i in range(8)]
+
+
+@query(f"SELECT (SELECT count(*) FROM {values(RUNS, 'watch_id, name, query, last_run, last_hits')}) AS total, CAST(row_number() OVER (ORDER BY last_run DESC NULLS LAST, watch_id) AS INTEGER) AS position, name, last_run, last_hits FROM {values(RUNS, 'watch_id, name, query, last_run, last_hits')} ORDER BY last_run DESC NULLS LAST, watch_id LIMIT 5")
+def watch_status(spark, d):
+    return U.watch_status(rows(spark, RUNS, "watch_id int, name string, query string, last_run long, last_hits long"))
+
+
+@query(f"""WITH {ENTRIES}, {EVENTS}, c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 7 <> 0) AS embedded FROM documents WHERE doc_id % 11 <> 0), r AS (SELECT round(count(*) FILTER (NOT ok) / count(*), 3) AS e FROM ev)
+ SELECT (SELECT count(*) FROM entries) AS entries, n AS chunks_all, embedded, e AS fetch_error_rate, CASE WHEN embedded < n THEN 'limited' WHEN e > 0.2 THEN 'degraded' ELSE 'healthy' END AS verdict, concat_ws('; ', CASE WHEN embedded < n THEN 'chunks without vectors' END, CASE WHEN e > 0.2 THEN 'many fetches fail' END) AS notes FROM c, r""")
+def diagnostics(spark, d):
+    log, e, c = fetch_log(spark, d), A.entries(spark, d), doc_chunks(spark, d)
+    rates = U.search_rates(log.select(F.lit(0).alias("searches"), F.lit(0).alias("empty"), F.lit(0).alias("degraded_of"), F.lit(0).alias("degraded"), F.lit(1).alias("fetches"), F.when(F.col("ok"), 0).otherwise(1).alias("errors")))
+    row = U.diagnostics(A.cache_stats(e, c), E.coverage(c), rates, M.feed_health(log, NOW), A.age_report(e), True)
+    return row.select("entries", "chunks_all", "embedded", "fetch_error_rate", "verdict", "notes")
+
+
+@query("SELECT item_id AS chunk_id, item_id % 3 = 0 OR item_id < 3 * (SELECT count(*) FROM benchmark) / 4 AS filled FROM benchmark")
+def embedding_backfill(spark, d):
+    """A third of the passages have vectors; a bounded run fills those of the lowest ids among the rest."""
+    b = A.table(spark, d, "benchmark").withColumn("has", F.col("item_id") % 3 == 0)
+    c = b.select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("entry_id"), "text", F.lit(None).cast("string").alias("heading"), F.when(F.col("has"), F.array(F.lit(1.0))).alias("embedding"), F.when(F.col("has"), E.STYLE).alias("embed_style"))
+    articles = b.select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("title"))
+    n = b.count()
+    room = sum(1 for i in range(n) if i % 3 and i < 3 * n / 4)
+    return E.fill(spark, c, articles, E.char_hash(), room).select("chunk_id", F.col("embedding").isNotNull().alias("filled"))
+
+
+@query("SELECT * FROM (VALUES (1, true, NULL), (2, false, 'dimension'), (3, false, 'model'), (4, true, NULL)) AS t(id, ok, reason)")
+def embedding_guard(spark, d):
+    meta, none = rows(spark, [("m", 8)], "model string, dim int"), rows(spark, [], "model string, dim int")
+    parts = [E.guard(x, m, n).select(F.lit(i).alias("id"), "ok", "reason") for i, (x, m, n) in enumerate([(meta, "m", 8), (meta, "m", 16), (meta, "o", 8), (none, "m", 8)], 1)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {ENTRIES} SELECT 1 AS id, 7::BIGINT AS at_ms UNION ALL SELECT 2, 9 UNION ALL SELECT 3, max(cached_at) FROM entries")
+def last_refresh(spark, d):
+    e = A.entries(spark, d)
+    parts = [E.last_refresh(rows(spark, m, "key string, value string"), e).select(F.lit(i).alias("id"), "at_ms") for i, m in enumerate([[("last_refresh", '{"timestamp": 7}')], [("last_refresh", "9")], [("other", "5")]], 1)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(r"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN text || ' tidings' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 2 AND text IS NOT NULL), w AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM c) SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df FROM w GROUP BY term""")
+def index_delta(spark, d):
+    """An index of all documents after a tenth of them changed and another tenth went: the same as one made anew."""
+    t = A.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("entry_id"), F.lit(0).alias("chunk_index"), "text", F.lit("").alias("heading"))
+    index = P.Index.build(spark, t)
+    fresh = t.filter("chunk_id % 10 = 1").withColumn("text", F.concat("text", F.lit(" tidings")))
+    now = index.changed(spark, fresh, t.filter("chunk_id % 10 = 2").select("chunk_id"))
+    return now.postings.groupBy("term").agg(F.sum("tf").alias("tf")).join(now.vocabulary.select("term", "df"), "term")
+
+
+@query(f"WITH {ENTRIES}, {FUSED} SELECT query_id, id AS entry_id, round(0.8 * score + 0.2 * exp(-greatest((1767225600000 - pub_date) / 86400000.0, 0) / 30), 6) AS combined FROM fused JOIN entries ON id = chunk_id")
+def blended_scores(spark, d):
+    r = S.blend(_fused(spark, d).join(A.entries(spark, d), F.col("id") == F.col("chunk_id")))
+    return r.select("query_id", F.col("id").alias("entry_id"), F.round("combined", 6).alias("combined"))
+
+
+@query()
+def hybrid_with_vectors(spark, d):
+    """Hybrid search of all benchmark queries in English articles, chunk vectors and query vectors among its lists."""
+    e, q = A.entries(spark, d), bench_queries(spark, d)
+    index = P.Index.build(spark, P.chunk_rows(e))
+    vectors = E.embed(E.inputs(index.chunks, e), E.char_hash(), "input").select("chunk_id", "embedding")
+    asked = E.embed(q, E.char_hash(), "query").select("query_id", "embedding")
+    return hybrid(spark, e, q, index=index, vectors=vectors, query_vectors=asked, collection="en")
+
+
+WATCH_LIST = [(1, "common", "the", None, None), (2, "old", "license apache", NOW - 10 * A.DAY_MS, 4), (3, "quiet", "qqqq", None, None)]
+
+
+@query(f"""WITH {ENTRIES}, w AS (SELECT * FROM {values(WATCH_LIST, 'watch_id, name, query, last_run, last_hits')}), h AS (SELECT watch_id FROM w JOIN entries ON pub_date > coalesce(last_run, 1767225600000 - 30 * 86400000::BIGINT) AND len(list_filter(string_split(query, ' '), lambda x: NOT contains(lower(title || ' ' || content), x))) = 0)
+ SELECT w.watch_id, name, query, 1767225600000 AS last_run, count(h.watch_id) AS last_hits FROM w LEFT JOIN h ON h.watch_id = w.watch_id GROUP BY ALL""")
+def watch_advance(spark, d):
+    w = rows(spark, WATCH_LIST, "watch_id int, name string, query string, last_run long, last_hits long")
+    return state.advanced(w, state.watch_hits(A.entries(spark, d), w, NOW))

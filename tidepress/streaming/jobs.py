@@ -1,14 +1,14 @@
-"""The streams run to their end over the tables at hand, each into a memory table or a written one."""
+"""The streams run to their end over the tables at hand, each into a written table."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepress.operators import archive as A
+from tidepress.storage import work_folder
 
 from . import state
 
@@ -17,10 +17,14 @@ def _to_end(df: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all there is and returns its rows."""
     spark = df.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidepress-stream-")
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
+    where = f"{work_folder(spark)}/{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")  # again after a failure: the same folder
+
+    q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{where}/rows/batch=*")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,15 +46,32 @@ def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each micro-batch of arriving documents is searched by the standing queries."""
-    listed = spark.createDataFrame([(1, "the", None), (2, "license apache", None)], "watch_id int, query string, last_run long")
-    found: list[tuple] = []
+    """Each micro-batch of arriving documents is searched by the standing queries, whose markers then move on."""
+    listed = spark.createDataFrame([(1, "common", "the", None, None), (2, "licenses", "license apache", None, None)], "watch_id int, name string, query string, last_run long, last_hits long")
+    _, hits = run_watches(_stream(spark, sf_dir, "documents"), listed, A.NOW_MS)
+    return hits.groupBy("watch_id").agg(F.sum("hits").alias("hits"))
 
-    def search(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col("doc_id").alias("id"), F.lit(A.NOW_MS).alias("pub_date"), F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), F.col("text").alias("content"))
-        found.extend((number, r["watch_id"], r["hits"]) for r in state.watch_hits(rows, listed, A.NOW_MS).collect())
 
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidepress-stream-")
-    q = _stream(spark, sf_dir, "documents").writeStream.foreachBatch(search).option("checkpointLocation", f"{where}/{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def run_watches(documents: DataFrame, listed: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The watches after the stream's end, and watch_id, hits, batch of every micro-batch.
+
+    Both are written by batch number: a batch that runs again after a failure reads the watches of the batch before and
+    writes the same folders. In a live job now_ms would be the batch's time; articles count by their publication.
+    """
+    spark = documents.sparkSession
+    where = f"{work_folder(spark)}/watches-{uuid.uuid4().hex}"
+    listed.write.parquet(f"{where}/list/0")
+    last = [0]
+
+    def search(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema(listed.schema).parquet(f"{where}/list/{number}")
+        rows = batch.select(F.col("doc_id").alias("id"), F.lit(now_ms + number).alias("pub_date"), F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), F.col("text").alias("content"))
+        state.watch_hits(rows, known, now_ms + number).write.mode("overwrite").parquet(f"{where}/hits/batch={number}")
+        hits = spark.read.parquet(f"{where}/hits/batch={number}")
+        state.advanced(known, hits).write.mode("overwrite").parquet(f"{where}/list/{number + 1}")
+        last[0] = number + 1
+
+    q = documents.writeStream.foreachBatch(search).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.createDataFrame(found, "batch long, watch_id int, hits long").groupBy("watch_id").agg(F.sum("hits").alias("hits"))
+    hits = spark.read.option("basePath", f"{where}/hits").parquet(f"{where}/hits") if last[0] else spark.createDataFrame([], "watch_id int, hits long, batch int")
+    return spark.read.schema(listed.schema).parquet(f"{where}/list/{last[0]}"), hits.select("watch_id", "hits", "batch")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepress.functions.bans import backoff_ms
+from tidepress.operators.search import small
 
 FEED_FIRST, FEED_MOST = 900_000, 86_400_000
 HOST_FIRST, HOST_MOST = 1_800_000, 43_200_000
@@ -64,6 +65,12 @@ def watch_hits(rows: DataFrame, watches: DataFrame, now_ms: int, look_back_ms: i
     since = F.coalesce("last_run", F.lit(now_ms - look_back_ms))
     w = watches.select("watch_id", since.alias("since"), F.split(F.lower("query"), " +").alias("terms"))
     low = rows.select("id", "pub_date", F.lower(F.concat_ws(" ", "title", "content")).alias("low"))
-    hit = low.join(F.broadcast(w), (F.col("pub_date") > F.col("since")) & F.forall("terms", lambda t: F.col("low").contains(t)))
+    hit = low.join(small(w), (F.col("pub_date") > F.col("since")) & F.forall("terms", lambda t: F.col("low").contains(t)))
     found = hit.groupBy("watch_id").agg(F.count("*").alias("hits"), F.min("id").alias("first_hit"))
     return watches.select("watch_id").join(found, "watch_id", "left").select("watch_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.lit(now_ms).cast("long").alias("last_run"), "first_hit")
+
+
+def advanced(watches: DataFrame, hits: DataFrame) -> DataFrame:
+    """watches (watch_id, name, query, last_run, last_hits) after a run: the marker always moves on, hit or not."""
+    j = watches.join(hits.select("watch_id", F.col("hits").alias("new_hits"), F.col("last_run").alias("ran")), "watch_id", "left")
+    return j.select("watch_id", "name", "query", F.coalesce("ran", "last_run").alias("last_run"), F.coalesce("new_hits", "last_hits").alias("last_hits"))
