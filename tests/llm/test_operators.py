@@ -269,20 +269,208 @@ def test_shards_are_contiguous_and_balanced(spark, docs):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
-@pytest.mark.parametrize(
-    "run",
-    [
-        lambda s, d: simhash.near_duplicates(s, d),
-        lambda s, d: near_copies.drop_near_copies(s, d),
-        lambda s, d: iblt.fingerprint_documents(s, d),
-        lambda s, d: sharding.shard_by_bytes(s, d),
-        lambda s, d: packing.pack(s, d, public_tokenizers.path("word_bpe_49k.json")),
-        lambda s, d: media.media_digests(s, d),
-        lambda s, d: pii.with_pseudonyms(s, d),
-        lambda s, d: bpe.round_trip_digests(s, d, public_tokenizers.path("byte_bpe_50k.json")),
-    ],
-)
-def test_empty_tables_and_odd_rows(spark, run):
+def test_pages_of_one_template_keep_every_near_pair(spark):
+    r = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(9000)]
+    common, texts = " ".join(r.choice(words, 600)), []
+    for _ in range(60):
+        own = r.choice(words, 82).tolist()
+        texts.append(f"{common} {' '.join(own)}")
+        own[-59:] = r.choice(words, 59).tolist()
+        texts.append(f"{common} {' '.join(own)}")
+    kept = sorted(x["doc_id"] for x in near_copies.drop_near_copies(spark, table(spark, texts)).select("doc_id").collect())
+    assert kept == brute_kept(texts) and len(kept) == 60
+
+
+def test_near_copies_take_any_column_names(spark):
+    rows = [(1, "a b c d e f g", 7, 8, "x"), (2, "a b c d e f g", 9, 10, "y"), (3, None, 11, 12, "z"), (None, "", 13, 14, "u"), (4, "p q", 15, 16, "v"), (4, "p q", 17, 18, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_digest long, Own_Turn long, digest string")
+    kept = near_copies.drop_near_copies(spark, docs)
+    assert kept.columns == docs.columns and sorted(r["own_digest"] for r in kept.filter("doc_id <> 4").collect()) == [7, 11]
+    assert kept.filter("doc_id = 4").count() == 1
+    once = near_copies.drop_near_copies(spark, docs.filter("digest <> 'w'"))
+    assert sorted(map(tuple, once.collect())) == [rows[0], rows[2], rows[4]]
+
+
+@pytest.mark.parametrize("key", ["string", "double", "date", "timestamp", "decimal(20,2)"])
+def test_shards_lose_no_row_whatever_the_key(spark, key):
+    texts = [(i * 37 % 50, "x" * (i * 13 % 40)) for i in range(50)] + [(None, "n"), (7, "again")]
+    base = spark.createDataFrame(texts, "k int, text string")
+    as_key = {"string": "concat('k', k)", "date": "date_add(date'2020-01-01', k)", "timestamp": "timestamp_seconds(k)"}.get(key, f"cast(k as {key})")
+    docs = base.selectExpr(f"{as_key} as doc_id", "text", "1 as b", "2 as run")
+    got = sharding.shard_by_bytes(spark, docs, 5).toPandas().sort_values(["shard", "slot"])
+    assert len(got) == 52 and got.start.tolist() == np.cumsum([0, *got["size"]])[:-1].tolist() and got.groupby("shard")["size"].sum().max() <= got["size"].sum() / 5 + 50
+    order = got.doc_id.tolist()[1:]
+    assert pd.isna(got.doc_id.iloc[0]) and order == sorted(order)
+
+
+def test_best_fit_equals_a_plain_search():
+    def plain(lengths, caps, weights, rule):
+        bins, out = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            need = [lengths[i] / caps[0], 1 / caps[1], lengths[i] ** 2 / caps[2]]
+            best = None
+            for b, left in enumerate(bins):
+                if all(x - n > -1e-9 for x, n in zip(left, need, strict=True)):
+                    score = sum(w * (x - n) ** 2 for w, x, n in zip(weights, left, need, strict=True)) if rule == "norm" else -sum(w * x * n for w, x, n in zip(weights, left, need, strict=True))
+                    best = min(best, (round(score, 12), b)) if best else (round(score, 12), b)
+            if best is None:
+                bins.append([1.0, 1.0, 1.0])
+                best = (0, len(bins) - 1)
+            bins[best[1]] = [x - n for x, n in zip(bins[best[1]], need, strict=True)]
+            out[i] = best[1]
+        return [out[i] for i in range(len(lengths))]
+
+    lengths = np.random.default_rng(6).integers(3, 90, 300)
+    for rule in ("norm", "dot"):
+        got, _ = packing.best_fit(lengths, 100, 4, 9000, (1.0, 0.5, 0.25), rule)
+        want = plain(lengths.tolist(), (100, 4, 9000), (1.0, 0.5, 0.25), rule)
+        same = {}
+        assert np.bincount(got).max() <= 4 and max(np.bincount(got, lengths)) <= 100 and max(np.bincount(got, lengths**2)) <= 9000
+        assert all(same.setdefault(a, b) == b for a, b in zip(got.tolist(), want, strict=True)) or abs(got.max() - max(want)) <= 1
+    exact = packing.best_fit(np.array([900, *[1] * 200, 1148]), 2048)[0]
+    assert exact[0] == exact[-1]  # an exact fit of tokens comes before any other term
+
+
+def test_mixture_equals_plain_expectation_maximisation(spark):
+    de, en = "Der Wind und die Wolken zogen schnell über das weite Land hinweg. ", BASE
+    rows = [(i, (de if i % 2 else en) * 3, "de" if i % 2 else "en") for i in range(40)]
+    model = langid.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for text in (de * 20, en * 25 + de * 9, de * 12 + en * 12):
+        ids, _ = langid.grams([text])
+        ll = [[model.temper * sum(float(model.table[g, j]) for g in ids[k : k + langid.SEGMENT]) for j in range(2)] for k in range(0, len(ids), langid.SEGMENT)]
+        share = [0.5, 0.5]
+        for _ in range(model.rounds):
+            parts = [[share[j] * np.exp(x[j] - max(x)) for j in range(2)] for x in ll]
+            share = [sum(p[j] / sum(p) for p in parts) / len(parts) for j in range(2)]
+        single = max(sum(x[j] for x in ll) for j in range(2))
+        fitted = sum(np.log(sum(share[j] * np.exp(x[j] - max(x)) for j in range(2))) + max(x) for x in ll)
+        two = fitted - model.penalty * np.log(len(ll) + 1) > single + 1e-9
+        got, size = model.predict([text])
+        assert size[0] == 1 + two
+        np.testing.assert_allclose(got[0], share if two else np.eye(2)[int(np.argmax([sum(x[j] for x in ll) for j in range(2)]))], atol=1e-4)
+
+
+def peeled_prints(a, b):
+    """Plain twin: subtracts two printed fingerprints and peels them; None where it doesn't come out."""
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    cells = [[[int(f[8 + 40 * i : 16 + 40 * i], 16), int(f[16 + 40 * i : 32 + 40 * i], 16), int(f[32 + 40 * i : 48 + 40 * i], 16)] for i in range(12)] for f in (a, b)]
+    cells = [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(*cells, strict=True)]
+    spark_hash = lambda key, salt: xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42))
+    found = set()
+    while any(any(c) for c in cells):
+        one = next((c for c in cells if abs(c[0]) == 1 and spark_hash(c[1], 977) == c[2]), None)
+        if one is None:
+            return None
+        n, key, check = one
+        found.add((n, signed(key)))
+        at = spark_hash(key, 0)
+        for j in range(3):
+            c = cells[4 * j + (at >> 21 * j & 3)]
+            c[0], c[1], c[2] = c[0] - n, c[1] ^ key, c[2] ^ check
+    return found
+
+
+def test_printed_fingerprints_subtract_and_peel(spark):
+    base = [f"Sentence number {i} of the text." for i in range(12)]
+    texts = [" ".join(base), " ".join(base[:5] + ["Another one here."] + base[5:]), " ".join(base[2:])]
+    got = iblt.fingerprint_documents(spark, table(spark, texts)).toPandas().sort_values("doc_id")
+    key = lambda t: {r[0] for r in spark.createDataFrame([(t,)], "t string").select(iblt.paragraphs("t").alias("k")).selectExpr("explode(k)").collect()}
+    sets = [key(t) for t in texts]
+    for a, b in ((0, 1), (0, 2), (1, 0)):
+        want = {(1, k) for k in sets[a] - sets[b]} | {(-1, k) for k in sets[b] - sets[a]}
+        assert peeled_prints(got.fingerprint.iloc[a], got.fingerprint.iloc[b]) == want
+    pairs = spark.createDataFrame([(1, texts[0], texts[1]), (2, texts[0], texts[0]), (3, None, texts[2]), (4, " ".join(map(str, range(3000))) + ". x.", "x. y.")], "doc_id long, old string, new string")
+    found = {(r["doc_id"], r["side"], r["digest"]) for r in iblt.differing_digests(spark, pairs).collect()}
+    want = {(d, s, k) for d, o, n in pairs.collect() for s, x, y in ((1, o, n), (-1, n, o)) for k in (key(x or "") - key(y or ""))}
+    assert found == want
+
+
+@pytest.mark.parametrize("change", [{"SPARE": 0}, {"RETRIES": 0}, {"MOST_BITS": 2, "RETRIES": 1}])
+def test_failed_sketches_are_retried_and_at_last_compared(spark, docs, monkeypatch, change):
+    want = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in iblt.fingerprint_documents(spark, docs).collect()}
+    for name, value in change.items():
+        monkeypatch.setattr(iblt, name, value)
+    assert {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in iblt.fingerprint_documents(spark, docs).collect()} == want
+
+
+def test_media_of_others_and_broken_media(spark):
+    noise = np.random.default_rng(0).integers(0, 256, (6, 576)).astype(np.uint8)
+    good = media.write_avi(media.encode_frames(noise))
+    at = good.index(b"idx1")
+    base = good.index(b"movi")
+    absolute = bytearray(good)
+    for i in range(6):
+        where = at + 8 + 16 * i + 8
+        absolute[where : where + 4] = (int.from_bytes(good[where : where + 4], "little") + base).to_bytes(4, "little")
+    other = media.encode_frames(noise[:1])[0].replace(b"\x00\x18\x00\x18", b"\x00\x0c\x00\x30", 1)  # 48 x 12: other samples, same scan
+    rows = [(1, good), (2, good[:at]), (3, bytes(absolute)), (4, media.write_avi([other])), (5, good[: base + 900]), (6, b"junk"), (7, None), (8, media.write_avi([b"\xff\xd8\xff\xd9"])), (9, media.write_avi([]))]
+    got = media.clips(spark, spark.createDataFrame(rows, "doc_id long, media binary")).toPandas()
+    assert got[got.error.isna()].groupby("doc_id").n_frames.sum().to_dict() == {1: 6, 2: 6, 3: 6, 4: 1}
+    assert got[got.error.notna()].doc_id.tolist() == [6, 8] or got[got.error.notna()].doc_id.tolist() == [5, 6, 8]
+    assert got[got.doc_id == 1].mean_level.tolist() == got[got.doc_id == 3].mean_level.tolist()
+
+
+def test_pseudonyms_are_one_to_one_and_valid():
+    p = pii.Pseudonymiser()
+    r = np.random.default_rng(3)
+    cards = {(b := "".join(map(str, r.integers(0, 10, 15)))) + pii.luhn_digit(b) for _ in range(300)}
+    dates = {f"{y}-{m:02d}-{d:02d}" for y in (1950, 2001) for m in range(1, 13) for d in (1, 15, 28)}
+    ips = {".".join(map(str, r.integers(1, 255, 4))) for _ in range(300)}
+    for kind, values in (("card", cards), ("date", dates), ("ip", ips)):
+        new = {v: p.apply(f"x {v} y")[0][2:-2] for v in values}
+        assert len(set(new.values())) == len(values) and all(v != n for v, n in new.items())
+        assert all([k for k, _, _ in p.apply(f"x {n} y")[1]] == [kind] for n in new.values())
+    assert pii.Pseudonymiser(b"other").apply("x 1985-03-12 y") != p.apply("x 1985-03-12 y")
+
+
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+ODD_ROWS = [(None, None), (3, ""), (7, "a b"), (7, "a b"), (None, "a b"), (8, "a b")]
+
+
+def fitted(spark):
+    rows = [(i, BASE * 2 + str(i), "en") for i in range(30)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def orc(spark, docs):
+    path = Store(spark, "t").path("orc")
+    token_files.write_token_files(spark, docs, path, WORD)
+    return token_files.with_crc32(token_files.read_tokens(spark, path))
+
+
+EVERY = [None, None, 3, 7, 7, 8]
+CASES = {
+    "tokens": (orc, EVERY),
+    "round_trip": (lambda s, d: bpe.round_trip_digests(s, d, BYTE), EVERY),
+    "decode": (lambda s, d: bpe.decode_documents(s, bpe.encode_documents(s, d, BYTE), BYTE), EVERY),
+    "simhash": (simhash.near_duplicates, EVERY),
+    "media": (media.media_digests, EVERY),
+    "clips": (lambda s, d: media.clips(s, media.to_media(s, d)), EVERY),
+    "identify": (lambda s, d: langid.identify(s, d, langid.fit(s, fitted(s))), EVERY),
+    "keep_known": (lambda s, d: langid.keep_known(s, d, langid.fit(s, fitted(s)), np.full(64, -1e9)), [None, 7, 7, 8]),
+    "pack": (lambda s, d: packing.pack(s, d, WORD), EVERY),
+    "sketch": (iblt.fingerprint_documents, EVERY),
+    "judge": (lambda s, d: quality.judge(s, d, quality.fit(s, fitted(s), s.createDataFrame([], "doc_id long, quality int"))), EVERY),
+    "keep_good": (lambda s, d: quality.keep_good(s, d, quality.fit(s, fitted(s), s.createDataFrame([], "doc_id long, quality int"))), EVERY),
+    "marginals": (lambda s, d: quality.line_marginals(s, d, quality.fit(s, fitted(s), s.createDataFrame([], "doc_id long, quality int"))), [None, 7, 7, 8]),
+    "pseudonymise": (pii.pseudonymise, EVERY),
+    "with_pseudonyms": (pii.with_pseudonyms, EVERY),
+    "shards": (sharding.shard_by_bytes, EVERY),
+    "near_copies": (near_copies.drop_near_copies, [3, 7]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_empty_tables_and_odd_rows(spark, name):
+    run, want = CASES[name]
     assert run(spark, table(spark, ["x"]).limit(0)).count() == 0
-    odd = table(spark, [None, "", "a b", "a b", "a b"], [None, 3, 7, 7, None])
-    assert run(spark, odd).count() >= 2
+    got = [r["doc_id"] for r in run(spark, table(spark, [t for _, t in ODD_ROWS], [i for i, _ in ODD_ROWS])).collect()]
+    assert sorted(got, key=lambda x: (x is not None, x)) == want
+
+
+def test_equal_rows_have_equal_values(spark):
+    odd = table(spark, ["a b c", "a b c", None, ""], [1, 2, 3, 4])
+    for run, names in ((media.media_digests, ["payload_sha256", "media_sha256", "feature"]), (iblt.fingerprint_documents, ["fingerprint"]), (lambda s, d: bpe.round_trip_digests(s, d, BYTE), ["ids_sha256"])):
+        got = run(spark, odd).toPandas().set_index("doc_id")[names]
+        assert (got.loc[1] == got.loc[2]).all() and (got.loc[3] == got.loc[4]).all()
