@@ -46,7 +46,7 @@ class WordEncoder:
     words are met early, so the half that stays is what is asked for most.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,17 +91,28 @@ class WordEncoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4") for e in found]
-        out = []
+        out: list[np.ndarray] = []
         for i in range(0, len(texts), 256):
-            split = [_pieces(t or "") for t in texts[i : i + 256]]
             if len(self.pieces) > self.keep:
                 self.pieces = dict(islice(self.pieces.items(), self.keep // 2)) | {b"": b""}
-            new = set().union(*(x for x in split if x is not None)).difference(self.pieces)
+            get, found, gaps, new = self.pieces.get, [], [], set()
+            for t in texts[i : i + 256]:
+                split = _pieces(t or "")
+                if split is None:
+                    found.append([self._by_words(t or "")])
+                    continue
+                ids = list(map(get, split))
+                if None in ids:  # filled once the new pieces of all these texts are learned together
+                    holes = [(k, split[k]) for k, x in enumerate(ids) if x is None]
+                    new.update(x for _, x in holes)
+                    gaps.append((ids, holes))
+                found.append(ids)
             if new:
                 self._learn_pieces(list(new))
-            get = self.pieces.__getitem__
-            raw = [self._by_words(t or "") if x is None else b"".join(map(get, x)) for x, t in zip(split, texts[i : i + 256], strict=True)]
-            out += [np.frombuffer(r, self.kind).astype("<u4") for r in raw]
+            for ids, holes in gaps:
+                for k, x in holes:
+                    ids[k] = self.pieces[x]
+            out += [np.frombuffer(b"".join(x), self.kind).astype("<u4") for x in found]
         return out
 
 
