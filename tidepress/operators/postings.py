@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepress.functions import text as T
 from tidepress.functions.stemming import stem
 from tidepress.sources import parsers
-from tidepress.storage import Tables
+from tidepress.storage import Tables, spread
 
 #: Chunks of one entry have ids from entry id x SPAN on.
 SPAN = 1 << 20
@@ -19,7 +19,7 @@ SPAN = 1 << 20
 
 def chunk_rows(rows: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
     """chunk_id, entry_id, chunk_index, text, heading of articles id, title, summary, content."""
-    made = parsers.chunks(rows, size, overlap)
+    made = parsers.chunks(spread(rows.select("id", "title", "summary", "content")), size, overlap)
     return made.select((F.col("entry_id") * SPAN + F.col("chunk_index")).alias("chunk_id"), "entry_id", "chunk_index", "text", "heading")
 
 

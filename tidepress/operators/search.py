@@ -37,7 +37,7 @@ def _whole(places: DataFrame, df: DataFrame, terms: DataFrame, wanted: DataFrame
 
     Each query starts from its rarest term's chunks, so a frequent term costs no more than the rarest beside it.
     """
-    asked = terms.join(df, "term")
+    asked = Tables(places.sparkSession, "bm25").write(terms.join(df, "term"), "asked")  # a row a query's term
     some = asked.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("known"))
     lead = some.join(wanted, "query_id").filter("known = wanted").select("query_id", "term", "wanted")
     first = places.select("term", "chunk_id").join(small(lead), "term").select("query_id", "chunk_id", "wanted")
@@ -123,6 +123,7 @@ def indexed_substrings(index, queries: DataFrame, k: int = 60, keep: DataFrame |
     asked = terms.select("term").distinct()
     grams = index.vocabulary.select("term").filter(F.length("term") >= 3).select(F.col("term").alias("word"), F.explode(F.expr("array_distinct(transform(sequence(1, length(term) - 2), i -> substring(term, i, 3)))")).alias("gram"))
     forms = grams.join(small(asked.withColumn("gram", F.substring("term", 1, 3))), "gram").filter(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
+    forms = Tables(forms.sparkSession, "bm25").write(forms, "forms")
     places = index.postings.select(F.col("term").alias("word"), "chunk_id").join(small(forms), "word").select("term", "chunk_id").distinct()
     low = index.chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     return _substring_scores(places, terms, wanted, low, stats, k, keep)

@@ -18,6 +18,7 @@ from tidepress.operators import search as S
 from tidepress.operators import upkeep as U
 from tidepress.plans.hybrid import hybrid
 from tidepress.sources import fetch, parsers
+from tidepress.storage import Tables, spread
 from tidepress.streaming import jobs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,7 +350,7 @@ def reindex_gaps(spark, d):
 
 @query()
 def chunk_sections(spark, d):
-    return parsers.chunks(A.entries(spark, d))
+    return parsers.chunks(spread(A.entries(spark, d).select("id", "title", "summary", "content")))
 
 
 @query("SELECT conv_id, turn, CASE WHEN p IS NULL THEN text ELSE trim(right(p, 120) || ' ' || text) END AS text FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)")
@@ -439,7 +440,7 @@ def fallback_like_search(spark, d):
 
 
 def chunk_texts(spark, d) -> DataFrame:
-    return A.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("entry_id"), "text")
+    return spread(A.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("entry_id"), "text"))
 
 
 def bench_queries(spark, d) -> DataFrame:
@@ -595,12 +596,13 @@ def context_expand(spark, d):
 
 @query()
 def simhash_fingerprint(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", parsers.simhash_udf("text").alias("simhash"))
+    return spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", parsers.simhash_udf("text").alias("simhash"))
 
 
 @query()
 def near_dup_pairs(spark, d):
-    return M.banded_pairs(simhash_fingerprint(spark, d).toDF("id", "simhash"), 4)
+    prints = Tables(spark, "prints").write(simhash_fingerprint(spark, d).toDF("id", "simhash"), "prints")  # read twice
+    return M.banded_pairs(prints, 4)
 
 
 @query()

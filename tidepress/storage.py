@@ -38,3 +38,9 @@ class Tables:
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores before costly work: a table of few row groups is read by as few tasks, a large one is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
