@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -36,7 +38,7 @@ class BacktrackingBpe:
     up at most once, so the work is linear in the text for tokens of bounded length.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 600_000):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         steps = [config["pre_tokenizer"] or {}, *((config["pre_tokenizer"] or {}).get("pretokenizers") or [])]
@@ -151,7 +153,7 @@ class BacktrackingBpe:
 
     def _learn(self, new: set[str]) -> None:
         if len(self.stems) > self.keep:
-            self.stems.clear()
+            self.stems = dict(islice(self.stems.items(), self.keep // 2))
         if len(self.compatible) > 1 << 20:
             self.compatible.clear()
         for w in new:
@@ -164,14 +166,15 @@ class BacktrackingBpe:
         if "" in words[1:] or any(b in text for b in ("\n\n", " \n", "\n ")) or text[-1:].isspace() or _ODD_SPACE(text):
             return b"".join(self._stem(p) if len(p) < 64 else self._long(p) for p in _SPLIT.findall(text))
         head, *rest = words
-        if len(self.words) > self.keep:
-            self.words.clear()
-        new = set(rest).difference(self.words)
-        if new:
-            self._learn(new)
+        if len(self.words) > self.keep:  # common words are met early: the earlier half stays
+            self.words = dict(islice(self.words.items(), self.keep // 2))
+        ids = list(map(self.words.get, rest))
+        if None in ids:
+            self._learn({w for w, x in zip(rest, ids, strict=True) if x is None})
+            ids = list(map(self.words.__getitem__, rest))
         start = head.split("\n")
         first = (self._run(start[0]) if start[0] else b"") + b"".join(self._stem("\n") + self._run(x) for x in start[1:])
-        return first + b"".join(map(self.words.__getitem__, rest))
+        return first + b"".join(ids)
 
     def _long(self, piece: str) -> bytes:
         return np.array([self.id_of[r] for r in self.piece(piece.encode())], "<u4").tobytes()
@@ -188,7 +191,7 @@ class BacktrackingBpe:
 
 
 #: Space other than blanks and line ends: such texts are split by the expression itself.
-_ODD_SPACE = regex.compile(r"[^\S \n]").search
+_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
 class OffsetTable:
