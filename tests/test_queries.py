@@ -205,3 +205,17 @@ def test_passages_are_found_as_by_contains(spark):
     got = M.passages_in(spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(asked, "query_id long, query string"))
     want = sorted((q, c) for q, x in asked for c, t in texts if t and x in t)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_one_pass_lists_equal_the_joins(spark, monkeypatch):
+    texts = [(1, "The nations relate; relational nation"), (2, None), (3, ""), (4, "anana banana nation ANANA"), (5, "İstanbul ñandú 12 nations' the the"), (6, "relating nation, banana")] + [(10 + i, f"nation {'ana' * (i % 5)} the w{i}") for i in range(40)]
+    asked = [(1, "nation"), (2, "ana"), (3, "the nations"), (4, "relate nation"), (5, ""), (6, "ñandú 12"), (7, "absent nation")]
+    chunks, q = spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    keep = spark.createDataFrame([(i,) for i, _ in texts if i % 2 == 0], "id long")
+    key = lambda df: sorted((r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 5)) for r in df.collect())
+    kinds = ("words", "stems", "substrings")
+    monkeypatch.setattr(S, "KNOWN", 8)
+    one = {(k, part is None): key(df) for part in (None, keep) for k, df in S.bm25_lists(chunks, q, kinds, 7, part).items()}
+    assert all(one.values())
+    monkeypatch.setattr(S, "SMALL", 0)
+    assert one == {(k, part is None): key(df) for part in (None, keep) for k, df in S.bm25_lists(chunks, q, kinds, 7, part).items()}

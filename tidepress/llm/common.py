@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from tidepress.storage import BATCH_BYTES, BATCH_ROWS, bound_batches  # noqa: F401
+
 _FALLBACK: list[str] = []
-BATCH_ROWS = 1000
-BATCH_BYTES = 32 << 20
 #: Rows that the cut points of text and fractional keys are taken from.
 SAMPLE = 20_000
 
@@ -25,24 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches sent to Python by rows and by bytes, so that long texts don't pile up in one.
-
-    The bounds are the same for all operators and are only ever lowered, so a plan that runs later has them too; a
-    session with lower ones of its own keeps those.
-    """
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
-    if _bytes(spark.conf.get(size)) > BATCH_BYTES:
-        spark.conf.set(size, f"{BATCH_BYTES}b")
-
-
-def _bytes(size: str) -> int:
-    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", size.strip().lower()).groups()
-    return int(number) << 10 * " kmgtp".index(unit[0] if unit not in ("", "b") else " ")
-
-
 def free_name(columns: list[str], name: str) -> str:
     """The name, with underscores before it until no column has it (in any case)."""
     taken = {c.lower() for c in columns}
