@@ -59,9 +59,13 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int =
 
 def inputs(chunks: DataFrame, articles: DataFrame, model: str | None = None, is_query: bool = False) -> DataFrame:
     """chunk_id, entry_id, text, input: what the model is given, title and heading in front, by the model's prefix."""
-    titled = chunks.join(articles.select(F.col("id").alias("entry_id"), "title"), "entry_id")
+    return titled(chunks.join(articles.select(F.col("id").alias("entry_id"), "title"), "entry_id"), model, is_query)
+
+
+def titled(chunks: DataFrame, model: str | None = None, is_query: bool = False) -> DataFrame:
+    """inputs() of chunks that have their article's title."""
     prefix = T.embed_prefix(F.lit(model).cast("string"), F.lit(is_query))
-    return titled.select("chunk_id", "entry_id", "text", F.concat(prefix, T.contextual(F.col("title"), F.col("heading"), F.col("text"))).alias("input"))
+    return chunks.select("chunk_id", "entry_id", "text", F.concat(prefix, T.contextual(F.col("title"), F.col("heading"), F.col("text"))).alias("input"))
 
 
 def gaps(articles: DataFrame, chunks: DataFrame, style: str = STYLE) -> DataFrame:

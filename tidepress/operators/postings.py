@@ -17,10 +17,10 @@ from tidepress.storage import Tables, spread
 SPAN = 1 << 20
 
 
-def chunk_rows(rows: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
-    """chunk_id, entry_id, chunk_index, text, heading of articles id, title, summary, content."""
-    made = parsers.chunks(spread(rows.select("id", "title", "summary", "content")), size, overlap)
-    return made.select((F.col("entry_id") * SPAN + F.col("chunk_index")).alias("chunk_id"), "entry_id", "chunk_index", "text", "heading")
+def chunk_rows(rows: DataFrame, size: int = 800, overlap: int = 120, titled: bool = False) -> DataFrame:
+    """chunk_id, entry_id, chunk_index, text, heading (and the article's title) of articles id, title, summary, content."""
+    made = parsers.chunks(spread(rows.select("id", "title", "summary", "content")), size, overlap, titled)
+    return made.select((F.col("entry_id") * SPAN + F.col("chunk_index")).alias("chunk_id"), "entry_id", "chunk_index", "text", "heading", *(["title"] if titled else []))
 
 
 def _stems(terms: DataFrame) -> DataFrame:
