@@ -219,3 +219,50 @@ def test_one_pass_lists_equal_the_joins(spark, monkeypatch):
     assert all(one.values())
     monkeypatch.setattr(S, "SMALL", 0)
     assert one == {(k, part is None): key(df) for part in (None, keep) for k, df in S.bm25_lists(chunks, q, kinds, 7, part).items()}
+
+
+def test_postings_are_counted_without_a_shuffle_and_deltas_copy_only_with_a_path(spark, tmp_path):
+    from tidepress.operators.postings import postings_of
+
+    data = [(1, 1, 0, "b a b", ""), (2, 2, 0, None, ""), (3, 3, 0, "A ñ a-c", ""), (4, 4, 0, "running b", "")]
+    chunks = spark.createDataFrame(data, "chunk_id long, entry_id long, chunk_index int, text string, heading string")
+    made = postings_of(chunks)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = [("a", 1, 3, 1), ("a", 3, 4, 2), ("b", 1, 3, 2), ("b", 4, 2, 1), ("c", 3, 4, 1), ("running", 4, 2, 1), ("ñ", 3, 4, 1)]
+    assert sorted(tuple(r) for r in made.select("term", "chunk_id", "dl", "tf").collect()) == want
+    index, fresh = Index.build(spark, chunks), spark.createDataFrame([(1, 1, 0, "jumping c", "")], chunks.schema)
+    rows_of = lambda i: [sorted(map(tuple, x.select(*sorted(x.columns)).collect()), key=str) for x in (i.chunks, i.postings, i.vocabulary, i.lengths)]
+    whole = rows_of(Index.build(spark, chunks.filter("chunk_id not in (1, 4)").union(fresh)))
+    for path in (None, f"{tmp_path}/index"):
+        assert rows_of(index.changed(spark, fresh, chunks.filter("chunk_id = 4"), path)) == whole
+    assert rows_of(Index.open(spark, f"{tmp_path}/index")) == whole
+
+
+def test_alike_word_sets_equal_brute_force_and_only_they_leave_the_join(spark):
+    r = np.random.default_rng(3)
+    sets = [(i, sorted({f"w{int(x)}" for x in r.zipf(1.4, r.integers(0, 9)) % 40})) for i in range(150)]
+    got = {(x["id"], x["other"]): x["likeness"] for x in M.likeness_pairs(spark.createDataFrame(sets, "id long, words array<string>")).collect()}
+    head = {}
+    for i, w in sets:
+        head.setdefault(tuple(w), i)
+    want = {(head[tuple(w)], i): 1.0 for i, w in sets if w and head[tuple(w)] != i}
+    for (a, i), (b, j) in itertools.combinations([x for x in head.items() if x[0]], 2):
+        if (s := len({*a} & {*b}) / len({*a, *b})) >= 0.6:
+            want[min(i, j), max(i, j)] = s
+    assert got == want
+
+
+def test_batches_of_pages_are_bounded(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    seen = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    for name in ("html_to_text", "readable_text", "web_backfill_articles", "vector_topk"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        registry.QUERIES[name](spark, DATA)
+        assert spark.range(3000).coalesce(1).select(seen("id").alias("n")).agg(F.max("n")).first()[0] <= 1000
+
+
+def test_fingerprint_keys_of_a_task_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK_KEYS", 50, raising=False)
+    prints = spark.createDataFrame([(i, i * 7919) for i in range(200)], "id long, simhash long")
+    assert "hashpartitioning(band#" in (p := M.banded_pairs(prints)._jdf.queryExecution().optimizedPlan().toString()) or "RepartitionByExpression [band" in p
+    assert ", 60" in p
