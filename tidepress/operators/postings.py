@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepress.functions import text as T
 from tidepress.functions.stemming import stem
 from tidepress.sources import parsers
-from tidepress.storage import Tables, spread
+from tidepress.storage import Tables, bound_batches, spread
 
 #: Chunks of one entry have ids from entry id x SPAN on.
 SPAN = 1 << 20
+#: Ids of chunks that went are broadcast up to so many.
+GONE = 2_000_000
 
 
 def chunk_rows(rows: DataFrame, size: int = 800, overlap: int = 120, titled: bool = False) -> DataFrame:
@@ -28,10 +34,25 @@ def _stems(terms: DataFrame) -> DataFrame:
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, dl: a row for each word of each chunk."""
-    words = chunks.select("chunk_id", T.tokens(F.col("text")).alias("words"))
-    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    """term, chunk_id, dl, tf: a row for each word of each chunk, counted where the chunk lies, each batch in order of term."""
+    bound_batches(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            words = batch.column(1).flatten().dictionary_encode()
+            if not len(words):
+                continue
+            order = pc.sort_indices(words.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            cells, tf = np.unique(place[words.indices.to_numpy()] * len(size) + np.repeat(np.arange(len(size)), size), return_counts=True)
+            term, row = np.divmod(cells, len(size))
+            columns = [words.dictionary.take(pa.array(order[term])), batch.column(0).take(pa.array(row)), pa.array(size[row], pa.int32()), pa.array(tf, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "dl", "tf"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", T.tokens(F.col("text")).alias("words")).mapInArrow(run, f"term string, chunk_id {kind}, dl int, tf long")
 
 
 def vocabulary_of(postings: DataFrame) -> DataFrame:
@@ -52,10 +73,10 @@ class Index:
 
     @staticmethod
     def build(spark: SparkSession, chunks: DataFrame, path: str | None = None) -> Index:
-        """Writes the index of chunks (chunk_id, entry_id, chunk_index, text, heading): one pass to tokenise, sorted by term."""
+        """Writes the index of chunks (chunk_id, entry_id, chunk_index, text, heading): one pass to tokenise, nothing shuffled."""
         out = Tables(spark, "index", path)
         kept = out.write(chunks, "chunks")
-        postings = out.write(postings_of(kept).sortWithinPartitions("term"), "postings")
+        postings = out.write(postings_of(kept), "postings")
         return Index(kept, postings, out.write(vocabulary_of(postings), "vocabulary"), out.write(lengths_of(kept), "lengths"))
 
     @staticmethod
@@ -66,15 +87,18 @@ class Index:
     def changed(self, spark: SparkSession, fresh: DataFrame, gone: DataFrame, path: str | None = None) -> Index:
         """The index after `fresh` chunks came (those of a known chunk_id replace it) and those of `gone` (chunk_id) went.
 
-        Only fresh chunks are tokenised; what stays is copied by anti-joins and only new words are stemmed.
+        Only fresh chunks are tokenised and only new words are stemmed. With a path what stays is copied there; without
+        one the chunks, postings and lengths read the old tables, less what went, and the new ones.
         """
         out = Tables(spark, "index", path)
         new = out.write(fresh, "fresh")
-        away = gone.select("chunk_id").union(new.select("chunk_id")).distinct()
+        away = out.write(gone.select("chunk_id").union(new.select("chunk_id")).distinct(), "away")
+        away = F.broadcast(away) if away.count() <= GONE else away
         left = lambda df: df.join(away, "chunk_id", "left_anti")
-        chunks = out.write(left(self.chunks).unionByName(new), "chunks")
-        postings = out.write(left(self.postings).unionByName(postings_of(new)).sortWithinPartitions("term"), "postings")
+        kept = (lambda df, name: out.write(df, name)) if path else (lambda df, name: df)
+        chunks = kept(left(self.chunks).unionByName(new), "chunks")
+        postings = kept(left(self.postings).unionByName(out.write(postings_of(new), "new_postings")), "postings")
         counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-        known = counts.join(self.vocabulary.select("term", "stem"), "term").select("term", "df", "stem")
-        unknown = _stems(counts.join(self.vocabulary, "term", "left_anti"))
-        return Index(chunks, postings, out.write(known.unionByName(unknown), "vocabulary"), out.write(left(self.lengths).unionByName(lengths_of(new)), "lengths"))
+        stemmed = F.pandas_udf(lambda t, s: pd.Series([stem(x) if y is None else y for x, y in zip(t, s, strict=True)], index=t.index, dtype=object), "string")
+        words = counts.join(self.vocabulary.select("term", "stem"), "term", "left").select("term", "df", stemmed("term", "stem").alias("stem"))
+        return Index(chunks, postings, out.write(words, "vocabulary"), kept(left(self.lengths).unionByName(lengths_of(new)), "lengths"))
