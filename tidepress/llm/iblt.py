@@ -38,20 +38,20 @@ def _places(key: Column, bits: Column, attempt: int) -> list[Column]:
     return [(side * j + F.shiftrightunsigned(h, 21 * j).bitwiseAND(side - 1)).cast("int") for j in range(3)]
 
 
-def sketches(rows: DataFrame, *group: str) -> DataFrame:
-    """group columns, cells: the printed sketch of each group of rows s (+1 or -1), k; empty groups have no row.
+def sketch(keys: Column) -> Column:
+    """The printed sketch of an array of digests: c, n (their number), k (xor of keys), h (xor of check hashes) of 12 cells.
 
-    cells holds c, n (sum of s), k (xor of keys), h (xor of check hashes) of each of 12 cells. Sketches are linear, so
-    that of one set's rows with +1 and another's with -1 is the first one's sketch less the second's.
+    Sketches are linear, so one set's less another's is that of their difference, each key signed. Each row makes its own
+    by lambdas: the aggregate of 36 columns that they replace was a class of 310,000 characters.
     """
-    side = 1 << PRINT_BITS
-    seen = rows.withColumns({"h": _check(F.col("k"))} | {f"at{j}": F.shiftrightunsigned(F.xxhash64("k", F.lit(0)), 21 * j).bitwiseAND(side - 1) for j in range(3)})
-    cells = [(j, i) for j in range(3) for i in range(side)]
-    own = lambda j, i, x: F.when(F.col(f"at{j}") == i, F.col(x))
-    found = seen.groupBy(*group).agg(*(f(own(j, i, x)).alias(f"{x}_{j * side + i}") for j, i in cells for f, x in ((F.sum, "s"), (F.bit_xor, "k"), (F.bit_xor, "h"))))
-    some = lambda x: F.coalesce(x, F.lit(0).cast("long"))
-    cell = lambda c: F.struct(F.lit(c).alias("c"), some(F.col(f"s_{c}")).alias("n"), some(F.col(f"k_{c}")).alias("k"), some(F.col(f"h_{c}")).alias("h"))
-    return found.select(*group, F.array(*(cell(c) for c in range(3 * side))).alias("cells"))
+    side, zero = 1 << PRINT_BITS, F.lit(0).cast("long")
+    at = lambda k, j: F.shiftrightunsigned(F.xxhash64(k, F.lit(0)), 21 * j).bitwiseAND(side - 1)
+    marked = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), *(at(k, j).alias(f"at{j}") for j in range(3))))
+    inside = lambda j, i: lambda x: x[f"at{j}"] == i
+    own = lambda rows: F.array(*(F.filter(rows, inside(j, i)) for j in range(3) for i in range(side)))
+    xor = lambda rows, name: F.aggregate(rows, zero, lambda acc, x: acc.bitwiseXOR(x[name]))
+    cell = lambda rows, c: F.struct(c.alias("c"), F.size(rows).cast("long").alias("n"), xor(rows, "k").alias("k"), xor(rows, "h").alias("h"))
+    return F.transform(F.array(marked), lambda rows: F.transform(own(rows), cell))[0]  # the outer array binds `marked`, made once
 
 
 def print_of(size: Column, cells: Column) -> Column:
@@ -112,7 +112,10 @@ def _from_prints(rows: DataFrame, pairs: dict[int, tuple[str, str]]) -> DataFram
     many keys differ, however large the sets are.
     """
     side = 1 << PRINT_BITS
-    found = sketches(_exploded(rows, pairs), "rid", "pair")
+    less = lambda x, y: F.struct(x["c"].alias("c"), (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
+    made = rows.select("rid", *(sketch(F.col(name)).alias(name) for name in dict.fromkeys(n for names in pairs.values() for n in names)))
+    parts = F.array(*(F.struct(F.lit(pair).alias("pair"), F.zip_with(a, b, less).alias("cells")) for pair, (a, b) in pairs.items()))
+    found = made.select("rid", F.explode(parts).alias("x")).select("rid", "x.pair", "x.cells")
     total, square = (F.aggregate("cells", F.lit(0).cast("long"), f) for f in (lambda acc, x: acc + x["n"], lambda acc, x: acc + x["n"] * x["n"]))
     mean = total / (3 * side)
     hint = F.greatest(F.ceil(side * (square / (3 * side) - mean * mean)), F.abs(F.ceil(mean * side)))
@@ -158,8 +161,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _add_up(rows: DataFrame, *group: str) -> DataFrame:
+    """Cells of one place added up, without empty ones.
+
+    A filter with a lambda isn't fused with its neighbours, so that each turn of `_peeled` is compiled as a class of its own:
+    together they are one of some 750,000 characters, whose compiling takes memory beside the heap.
+    """
     x = rows.select(*group, "x.c", "x.n", "x.k", "x.h")
-    return x.groupBy(*group, "c").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).filter("n <> 0 or k <> 0 or h <> 0")
+    last = F.exists(F.array("h"), lambda h: h != 0)
+    return x.groupBy(*group, "c").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).filter((F.col("n") != 0) | (F.col("k") != 0) | last)
 
 
 def _taken(sign: Column, key: Column, bits: Column, attempt: int) -> list[Column]:
@@ -250,21 +259,16 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     pairs = {1: ("keys", "edited_keys"), 2: ("keys", "next_keys")}
     found = differences(spark, store, base, pairs).groupBy("rid").agg(*(F.max(F.when(F.col("pair") == i, F.col("delta"))).alias(f"d{i}") for i in pairs))
-    own = lambda name, number: F.transform(name, lambda k: F.struct(F.lit(number).alias("of"), k.alias("k")))
-    near = base.select("rid", "keys", "edited_keys").repartition(4 * parallelism(spark), "rid")
-    each = near.select("rid", F.explode(F.concat(own("keys", 0), own("edited_keys", 1))).alias("x")).select("rid", "x.of", "x.k", F.lit(1).cast("long").alias("s"))
-    prints = sketches(each, "rid", "of").groupBy("rid").agg(*(F.max(F.when(F.col("of") == i, F.col("cells"))).alias(f"cells{i}") for i in (0, 1)))
-    size = [F.size(k).alias(f"n_{k}") for k in ("keys", "edited_keys", "next_keys")]
-    out = base.select("rid", "doc_id", "n_chars", "edited_sha256", *size).join(prints, "rid", "left").join(found, "rid", "left")
+    out = base.select("rid", "doc_id", "n_chars", "edited_sha256", "keys", "edited_keys", F.size("next_keys").alias("n_next")).join(found, "rid", "left")
     delta = lambda i: F.coalesce(f"d{i}", F.lit(0))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        print_of(F.col("n_keys"), F.col("cells0")).alias("fingerprint"),
-        print_of(F.col("n_edited_keys"), F.col("cells1")).alias("edited_fingerprint"),
-        likeness(F.col("n_keys"), F.col("n_edited_keys"), delta(1)).alias("near_edited"),
-        likeness(F.col("n_keys"), F.col("n_next_keys"), delta(2)).alias("near_next"),
+        print_of(F.size("keys"), sketch(F.col("keys"))).alias("fingerprint"),
+        print_of(F.size("edited_keys"), sketch(F.col("edited_keys"))).alias("edited_fingerprint"),
+        likeness(F.size("keys"), F.size("edited_keys"), delta(1)).alias("near_edited"),
+        likeness(F.size("keys"), F.col("n_next"), delta(2)).alias("near_next"),
     )
 
 
