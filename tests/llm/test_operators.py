@@ -394,6 +394,26 @@ def test_failed_sketches_are_retried_and_at_last_compared(spark, docs, monkeypat
     assert {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in iblt.fingerprint_documents(spark, docs).collect()} == want
 
 
+def test_sketches_are_compiled_in_small_classes(spark, monkeypatch):
+    planned = []
+
+    def size(df):
+        parts = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        planned.append(max([0, *(len(parts.apply(i)._2()) for i in range(parts.size()))]))
+
+    write = Store.write
+    monkeypatch.setattr(Store, "write", lambda self, df, step: (size(df), write(self, df, step))[1])
+    monkeypatch.setattr(iblt, "RETRIES", 1)
+    texts = [" ".join(f"Sentence {i * n} of the text." for i in range(30)) for n in range(1, 4)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the classes aren't known before the run
+    try:
+        size(iblt.fingerprint_documents(spark, table(spark, texts)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(planned) >= 4 and max(planned) < 150_000
+
+
 def test_media_of_others_and_broken_media(spark):
     noise = np.random.default_rng(0).integers(0, 256, (6, 576)).astype(np.uint8)
     good = media.write_avi(media.encode_frames(noise))
